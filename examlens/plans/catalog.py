@@ -14,7 +14,7 @@ from ..operators import activity, attempts, commitment, dashboard, distribution,
 from ..operators.model import Model
 from ..session import scratch_path
 from ..sources import csv, dimension, orders, views
-from .reports import choose_programs, reports
+from .reports import REPORTS, choose_programs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,7 +78,7 @@ def _area_department(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _short_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = orders.read(spark, sf_dir, "documents")
     return texts.select("doc_id", short_label(F.col("text")).alias("label"))
 
 
@@ -109,7 +109,7 @@ def _csv_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     operator, student, _ = OPERATORS[name]
     model = orders.star(spark, sf_dir, student=student)
     path = scratch_path(spark, name)
-    reports()[name].write(model, path)
+    REPORTS[name].write(model, path)
     return csv.read_csv(spark, path, operator(model).schema)
 
 
@@ -140,7 +140,7 @@ def queries() -> dict[str, Query]:
     for name in OPERATORS:
         found[name] = partial(_star, name)
         found[f"{name}_wide"] = partial(_wide, name)
-    for name in reports():
+    for name in REPORTS:
         found[f"chosen_{name}"] = partial(_chosen, name)
     found["commitment_top_n"] = found.pop("chosen_commitment_rate")
     found["filter_programs"] = partial(_chosen, "exam_pass_rate")

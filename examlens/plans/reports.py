@@ -22,32 +22,36 @@ from ..sources.csv import write_csv
 
 @dataclass(frozen=True)
 class Report:
-    """A question and the order of its rows, always down to a unique key."""
+    """A question and the order of its rows, always down to a unique key.
+
+    A leading `-` means descending with NULLs last.
+    """
 
     build: Callable[[Model], DataFrame]
-    order: list[Column | str]
+    order: tuple[str, ...]
+
+    def columns(self) -> list[Column]:
+        return [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc(c) for c in self.order]
 
     def write(self, model: Model, path: str) -> None:
-        write_csv(self.build(model), path, self.order)
+        write_csv(self.build(model), path, self.columns())
 
 
-def reports() -> dict[str, Report]:
-    by_exam = F.asc("exam_code")
-    return {
-        "session_enrolments": Report(session_enrolments, ["date", "program_code", "session_date"]),
-        "hardest_exams": Report(hardest_exams, ["program_code", "year", "ratio", by_exam]),
-        "commitment_rate": Report(commitment_rate, [F.desc_nulls_last("commit_rate"), "program"]),
-        "best_exams": Report(best_exams, ["program_code", F.desc("mean_grade"), by_exam]),
-        "worst_exams": Report(worst_exams, ["program_code", F.asc("mean_grade"), by_exam]),
-        "fast_furious": Report(fast_furious, [F.desc_nulls_last("score"), "program_code", "student_id"]),
-        "trial_and_error": Report(trial_and_error, [F.desc("attempts"), by_exam]),
-        "merit_credits": Report(merit_credits, [F.desc_nulls_last("credits"), "program_code"]),
-    }
+REPORTS = {
+    "session_enrolments": Report(session_enrolments, ("date", "program_code", "session_date")),
+    "hardest_exams": Report(hardest_exams, ("program_code", "year", "ratio", "exam_code")),
+    "commitment_rate": Report(commitment_rate, ("-commit_rate", "program")),
+    "best_exams": Report(best_exams, ("program_code", "-mean_grade", "exam_code")),
+    "worst_exams": Report(worst_exams, ("program_code", "mean_grade", "exam_code")),
+    "fast_furious": Report(fast_furious, ("-score", "program_code", "student_id")),
+    "trial_and_error": Report(trial_and_error, ("-attempts", "exam_code")),
+    "merit_credits": Report(merit_credits, ("-credits", "program_code")),
+}
 
 
 def write_reports(model: Model, folder: str) -> None:
     """Every report as CSV under `folder/<name>`."""
-    for name, report in reports().items():
+    for name, report in REPORTS.items():
         report.write(model, f"{folder}/{name}")
 
 
