@@ -11,8 +11,8 @@ def exam_pass_rate(model: Model) -> DataFrame:
     """Enrolled, passed and percentage passed per exam, calendar year and program."""
     counts = model.totals(
         [*model.keys("program", "exam"), "year"],
-        n_enrolled=F.lit(1),
         n_passed=F.when(F.col("passed") == 1, 1).otherwise(0),
+        n_enrolled=F.lit(1),
     )
     return model.label(counts, "program", "exam").select(
         "program_code",
@@ -34,8 +34,11 @@ def hardest_of(rates: DataFrame, k: int = 10) -> DataFrame:
     """All years of the exams found in a program's first k rows by (year, ratio).
 
     The years come first in that order, so the earliest year decides which exams
-    are chosen, and more than k rows per program come back. This is intended.
+    are chosen, and more than k rows per program come back. This is intended. Rows
+    without codes name no exam; dropping them here rather than in the join also lets
+    both uses of `rates` share one shuffle.
     """
+    rates = rates.filter(F.col("program_code").isNotNull() & F.col("exam_code").isNotNull())
     first = top_k(rates, ["program_code"], [F.col("year"), F.col("ratio"), F.col("exam_code")], k)
     chosen = first.select("program_code", "exam_code").distinct()
     return rates.join(chosen, ["program_code", "exam_code"], "left_semi").select(*rates.columns)
