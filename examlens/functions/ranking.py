@@ -18,15 +18,18 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
 
 
 def upper_half(df: DataFrame, count: str, *maxima: str) -> DataFrame:
-    """One row about the rows of `df` whose `count` is not below the lower median:
-    `lower_median`, and `max_<column>` for the count and each column of `maxima`.
+    """The values of `count` in `df` from its lower median upwards, one row each.
+
+    Every row also holds, over all rows of `df` with these values, `lower_median`
+    and `max_<column>` for the count and the columns of `maxima`.
 
     Works on the histogram of the counts. That has one row per *different* count;
     d different counts of enrolments need at least d*(d+1)/2 enrolments, so 10^12
-    enrolments give fewer than 1.5 million rows to the one task of the running sum.
+    enrolments give fewer than 1.5 million short rows. This bound allows the windows
+    over all rows here, and a broadcast of the result.
     """
     histogram = df.groupBy(count).agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(f"max_{c}") for c in maxima]
+        F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(f"_max_{c}") for c in maxima]
     )
     everything = Window.partitionBy()
     running = everything.orderBy(count).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -34,9 +37,10 @@ def upper_half(df: DataFrame, count: str, *maxima: str) -> DataFrame:
         histogram.withColumn("_until", F.sum("_rows").over(running))
         .withColumn("_all", F.sum("_rows").over(everything))
         .filter(F.col("_until") * 2 >= F.col("_all"))
-        .agg(
-            F.min(count).alias("lower_median"),
-            F.max(count).alias(f"max_{count}"),
-            *[F.max(f"max_{c}").alias(f"max_{c}") for c in maxima],
+        .select(
+            count,
+            F.min(count).over(everything).alias("lower_median"),
+            F.max(count).over(everything).alias(f"max_{count}"),
+            *[F.max(f"_max_{c}").over(everything).alias(f"max_{c}") for c in maxima],
         )
     )

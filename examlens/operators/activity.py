@@ -1,14 +1,14 @@
 """Active students and their weighted score.
 
 The one expensive step, grouping enrolments by (student, program), feeds both the
-median with the maxima and the rows themselves. The former is read as a scalar
-subquery over the same aggregate with the same columns, so Spark runs the grouping
-once and reuses its shuffle.
+median with the maxima and the rows themselves. Both sides are written over the same
+aggregate with the same columns, so Spark runs the grouping once and reuses its
+shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_between
@@ -37,15 +37,23 @@ def student_activity(model: Model) -> DataFrame:
     return model.label(pairs, "program").select(*ACTIVITY)
 
 
+def _in_upper_half(pairs: DataFrame, *maxima: str) -> DataFrame:
+    """Pairs with a count from the lower median upwards, with the bounds as columns.
+
+    `upper_half` proves the size of the broadcast side. It has to be broadcast: the
+    pairs gather in a few small counts, a shuffle by count would be one of hot keys.
+    """
+    return pairs.join(F.broadcast(upper_half(pairs, "n_exams", *maxima)), "n_exams")
+
+
 def active_students(model: Model) -> DataFrame:
     """Students with at least as many enrolments as the lower median of all pairs."""
-    pairs = student_activity(model)
-    return pairs.filter(F.col("n_exams") >= upper_half(pairs, "n_exams").select("lower_median").scalar())
+    return _in_upper_half(student_activity(model)).select(*ACTIVITY)
 
 
 def lower_median(model: Model) -> DataFrame:
     """The threshold of `active_students`, one row."""
-    return upper_half(student_activity(model), "n_exams").select("lower_median")
+    return upper_half(student_activity(model), "n_exams").agg(F.min("n_exams").alias("lower_median"))
 
 
 def _all_profiles(model: Model) -> DataFrame:
@@ -66,16 +74,20 @@ def _all_profiles(model: Model) -> DataFrame:
     return model.label(dated, "program").select(*PROFILE)
 
 
-def _active_profiles(model: Model) -> tuple[DataFrame, Column]:
-    """Profiles of active students, and the struct of their maxima."""
-    profiles = _all_profiles(model)
-    bounds = upper_half(profiles, "n_exams", *MAXIMA).select(F.struct("*").alias("bounds")).scalar()
-    return profiles.filter(F.col("n_exams") >= bounds["lower_median"]), bounds
+def _active_profiles(model: Model) -> DataFrame:
+    """Profiles of active students with the bounds as columns.
+
+    The filter is true for every row. Without it Spark would drop unused measures
+    from the side of the bounds and scan the enrolments once more for that side.
+    """
+    active = _in_upper_half(_all_profiles(model), *MAXIMA)
+    within = [F.coalesce(F.col(c) <= F.col(f"max_{c}"), F.lit(True)) for c in MAXIMA]
+    return active.filter(within[0] & within[1])
 
 
 def activity_profile(model: Model) -> DataFrame:
     """Mean grade, enrolments and period of activity of each active student."""
-    return _active_profiles(model)[0]
+    return _active_profiles(model).select(*PROFILE)
 
 
 def fast_furious(model: Model) -> DataFrame:
@@ -90,14 +102,12 @@ def weighted_fast_furious(model: Model, grade_weight: float) -> DataFrame:
     """
     if not 0 <= grade_weight <= 1:
         raise ValueError("grade_weight must be between 0 and 1")
-    profiles, bounds = _active_profiles(model)
-    speed = (F.lit(1.0) - F.col("diff_day_norm")) * F.col("n_exams_norm")
-    return (
-        profiles.withColumn("diff_day_norm", F.try_divide("diff_day", bounds["max_diff_day"]))
-        .withColumn("avg_grade_norm", F.try_divide("avg_grade", bounds["max_avg_grade"]))
-        .withColumn("n_exams_norm", F.col("n_exams").cast("double") / bounds["max_n_exams"])
-        .withColumn(
-            "score",
-            F.lit(float(grade_weight)) * F.col("avg_grade_norm") + F.lit(1.0 - grade_weight) * speed,
-        )
+    normed = _active_profiles(model).select(
+        *PROFILE,
+        F.try_divide("diff_day", "max_diff_day").alias("diff_day_norm"),
+        F.try_divide("avg_grade", "max_avg_grade").alias("avg_grade_norm"),
+        (F.col("n_exams").cast("double") / F.col("max_n_exams")).alias("n_exams_norm"),
     )
+    speed = (F.lit(1.0) - F.col("diff_day_norm")) * F.col("n_exams_norm")
+    score = F.lit(float(grade_weight)) * F.col("avg_grade_norm") + F.lit(1.0 - grade_weight) * speed
+    return normed.withColumn("score", score)

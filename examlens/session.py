@@ -62,6 +62,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ensure_checkpoint_folder(spark: SparkSession) -> None:
+    """Let `DataFrame.checkpoint` write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path inside the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

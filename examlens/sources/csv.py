@@ -27,4 +27,5 @@ def write_csv(df: DataFrame, path: str, order: list[Column | str] | None = None)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Read results with any line ends; an empty cell is NULL, quoted or not."""
     return spark.read.options(**FORMAT).schema(schema).csv(path)

@@ -9,6 +9,7 @@ from ..operators.grades import exam_mean_grade
 from ..operators.merit import BANDS, bands_27_28, students_in_band
 from ..operators.model import Model, StarModel
 from ..operators.pass_rate import exam_pass_rate
+from ..session import ensure_checkpoint_folder
 
 
 def temp_table(spark: SparkSession, name: str, df: DataFrame, materialise: bool = False) -> DataFrame:
@@ -20,6 +21,7 @@ def temp_table(spark: SparkSession, name: str, df: DataFrame, materialise: bool
     """
     spark.catalog.dropTempView(name)
     if materialise:
+        ensure_checkpoint_folder(spark)
         df = df.checkpoint()
     df.createOrReplaceTempView(name)
     return df
