@@ -29,8 +29,8 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string",
 }
 
-# Moves the dates from 1995-2001 to 2011-2017; a multiple of four keeps 29 February.
-SHIFT_MONTHS = 16 * 12
+# Sixteen years with their four leap days: moves 1995-2001 to 2011-2017, day by day.
+SHIFT_DAYS = 16 * 365 + 4
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _line_items(
             "l_orderkey",
             "l_partkey",
             "l_suppkey",
-            F.add_months(F.col("l_shipdate").cast("date"), SHIFT_MONTHS).alias("day"),
+            F.date_add(F.col("l_shipdate").cast("date"), SHIFT_DAYS).alias("day"),
             (F.col("l_returnflag") != "R").cast("int").alias("passed"),
             F.when(graded, F.col("l_quantity").cast("int") % 13 + 18).alias("grade"),
         )
@@ -88,7 +88,7 @@ def _line_items(
 
 
 def _session_id() -> Column:
-    day = F.date_format("day", "yyyyMMdd")
+    day = (F.year("day") * 10000 + F.month("day") * 100 + F.dayofmonth("day")).cast("string")
     return F.concat_ws("-", "program_code", "exam_code", day).alias("session_id")
 
 
