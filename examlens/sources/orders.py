@@ -96,7 +96,8 @@ def star(spark: SparkSession, sf_dir: str, *, student: bool = True) -> StarModel
     """The four normalised tables; `student_id` only where asked for."""
     items = _line_items(spark, sf_dir, student=student, exam=True, program=False)
     held = _line_items(spark, sf_dir, student=False, exam=True, program=False)
-    days = held.select("program_code", "exam_code", "day").distinct()
+    days = held.select("s_nationkey", "exam_code", "day").distinct()
+    days = days.withColumn("program_code", _program_code("s_nationkey"))
     date_text = F.concat_ws("/", F.dayofmonth("day"), F.month("day"), F.year("day"))
     brands = read(spark, sf_dir, "part").select(F.col("p_brand").alias("exam_code")).distinct()
     return StarModel(
