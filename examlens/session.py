@@ -28,7 +28,8 @@ def build_session(
 ) -> SparkSession:
     """A session with the settings the operators are designed for.
 
-    AQE re-plans joins from measured sizes (broadcast only below the threshold)
+    AQE re-plans joins from measured sizes (broadcast only below the threshold, hash
+    join without sorting the facts where every partition of the other side is small)
     and splits the partitions of hot join keys.
     """
     builder = (
@@ -39,6 +40,7 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     )
     if master is not None:
         builder = builder.master(master)

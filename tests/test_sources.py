@@ -7,7 +7,7 @@ import pytest
 
 from examlens.operators import grades, merit
 from examlens.plans.reports import REPORTS, choose_programs, write_reports
-from examlens.session import scratch_path
+from examlens.session import scratch_path, shared_folder
 from examlens.sources import csv, dimension, tables, views
 from mini import Row, day, dmy, dmy2, got, label, session_id, star_of, wide_of
 
@@ -159,3 +159,28 @@ def test_temporary_tables(spark):
     assert "Scan ExistingRDD" in kept._jdf.queryExecution().executedPlan().toString()
     views.temp_table(spark, "means", kept.filter("program_code = 'P0'"))
     assert spark.table("means").select("program_code").distinct().count() == 1
+
+
+class FakeSession:
+    """What `shared_folder` reads of a session."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = type("Context", (), {"master": master})()
+        self.folder = folder
+        self.conf = self
+
+    def get(self, key, default):
+        assert key == "spark.checkpoint.dir"
+        return self.folder or default
+
+    def set(self, key, value):
+        self.folder = value
+
+
+def test_shared_folder_is_the_one_of_the_cluster(spark):
+    assert scratch_path(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    assert shared_folder(FakeSession("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError):
+        shared_folder(FakeSession("yarn"))
+    local = FakeSession("local[2]")
+    assert shared_folder(local) == shared_folder(local) == local.folder
