@@ -174,7 +174,7 @@ _BANDS = """, student_means AS (
 _SESSION_DATES = """, dates AS (
   SELECT DISTINCT program_code, session_date, long_year AS year, date FROM held
 )
-SELECT d.*, CAST(date - (SELECT min(date) FROM dates f WHERE f.program_code = d.program_code) AS DOUBLE) AS days
+SELECT d.*, CAST(date - min(date) OVER (PARTITION BY program_code) AS DOUBLE) AS days
 FROM dates d"""
 
 # name: (tables built on the enrolments, final select)
@@ -247,7 +247,7 @@ def oracle_sql() -> dict[str, str]:
     programs = ", ".join(f"'{label}'" for label in CHOSEN_PROGRAMS)
     areas = ", ".join(f"'{area}'" for area in CHOSEN_AREAS)
     for key, name in _CHOSEN.items():
-        found[key] = _STAR + ", " + "result AS (" + _sql(name) + f")\nSELECT * FROM result WHERE program IN ({programs})"
+        found[key] = f"SELECT * FROM ({_sql(name)}) AS result WHERE program IN ({programs})"
     found["commitment_top_n"] = _sql(
         "commitment_rate",
         suffix=f"\nWHERE program IN ({programs}) ORDER BY commit_rate DESC NULLS LAST, program LIMIT 10",
@@ -263,7 +263,8 @@ def oracle_sql() -> dict[str, str]:
 SELECT r.*, area, department, degree_type, language, inactive
 FROM rates r LEFT JOIN dim d ON d.program_code = r.program_code"""
     )
-    found["area_department"] = _BASE + "\nSELECT DISTINCT rtrim(area) AS area, rtrim(department) AS department FROM dim"
+    found["area_department"] = _BASE + """
+SELECT DISTINCT rtrim(area) AS area, rtrim(department) AS department FROM dim"""
     found["short_label"] = """
 SELECT doc_id, CASE WHEN length(text) > 65 THEN substring(text, 1, 61) || '...' ELSE text END AS label
 FROM documents"""

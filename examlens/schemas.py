@@ -35,13 +35,3 @@ ENROLMENT_WIDE = _schema(
     passed=IntegerType(),
     grade=IntegerType(),
 )
-
-PROGRAM_DIMENSION = _schema(
-    program_code=StringType(),
-    program=StringType(),
-    area=StringType(),
-    department=StringType(),
-    degree_type=StringType(),
-    language=StringType(),
-    inactive=IntegerType(),
-)
