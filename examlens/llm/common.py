@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
+# The white space of the contract's words `[^\\x20\\x09-\\x0D]+`.
+WHITE = " \t\n\x0b\f\r"
+
 # At most so many bytes of text are worked on at a time, or one text.
 SLICE_BYTES = 8 << 20
 

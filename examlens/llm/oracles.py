@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .chat import CLOSE, OPEN, SEPARATOR
 from .quality import MAX_REPEAT_PERCENT, MIN_WORDS, SIGNALS, Risk
+from .queries import RULES, TRICKY_ID, TRICKY_TEXT
+from .urls import Spread
+from .warc import MIN_REVISIT_BYTES
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -73,5 +77,85 @@ FROM judged
 """
 
 
+WARC = f"""
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+    FROM pages),
+latest AS (
+    SELECT payload_digest, max(page_id) AS latest FROM p WHERE payload_bytes >= {MIN_REVISIT_BYTES} GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN latest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN latest <> page_id THEN latest END AS refers_to
+FROM p LEFT JOIN latest USING (payload_digest)
+"""
+
+_ESCAPED = r"""length({0}) + length({0}) - length(replace({0}, '\', ''))
+    + length({0}) - length(replace({0}, '###', '')) + (length({0}) - length(replace({0}, '</turn>', ''))) / 7"""
+CHAT = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT {TRICKY_ID}, 0, 'user', '{TRICKY_TEXT}' UNION ALL SELECT {TRICKY_ID}, 1, 'assistant', '{TRICKY_TEXT}'),
+s AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+           coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+           sum({len(OPEN) + len(SEPARATOR) + len(CLOSE)} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS chars
+    FROM t GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256,
+       CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM s
+"""
+
+_HOST = "translate(regexp_extract(coalesce({0}, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RULES = ", ".join(f"('{r.host}', '{r.path}', '{r.pattern}', '{r.verdict}')" for r in RULES)
+
+
+def _urls(how: Spread) -> str:
+    """The walk unrolled, a table a step."""
+    steps = "".join(
+        f"""
+s{i} AS (
+    SELECT kind, host, sum(score) AS score FROM (
+        SELECT kind, host, {1 - how.damping} * seed AS score FROM seeds
+        UNION ALL SELECT s.kind, w.dst, {how.damping} * s.score * w.part
+        FROM s{i - 1} s JOIN ways w ON s.kind = w.kind AND s.host = w.src) GROUP BY kind, host),"""
+        for i in range(1, how.steps + 1)
+    )
+    return f"""
+WITH p AS (
+    SELECT page_id, {_HOST.format("url")} AS host,
+           regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
+rules(rule_host, rule_path, rule, verdict) AS (VALUES {_RULES}),
+fits AS (
+    SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+    FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY page_id),
+ruled AS (SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN fits USING (page_id)),
+pages_by AS (SELECT verdict AS kind, host, count(*) AS n FROM ruled WHERE verdict IS NOT NULL AND host <> '' GROUP BY ALL),
+seeds AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS seed FROM pages_by),
+hrefs AS (
+    SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]+)', 1)) AS link
+    FROM p),
+links AS (
+    SELECT src, dst, count(*) AS n FROM (SELECT src, {_HOST.format("link")} AS dst FROM hrefs)
+    WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+both_ways AS (SELECT 'allow' AS kind, src, dst, n FROM links UNION ALL SELECT 'block', dst, src, n FROM links),
+ways AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS part FROM both_ways),
+s0 AS (SELECT kind, host, seed AS score FROM seeds),{steps}
+scores AS (
+    SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust,
+           coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust FROM s{how.steps} GROUP BY host)
+SELECT page_id, ruled.host AS host, path, rule,
+       coalesce(verdict, CASE WHEN distrust > {how.threshold} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN scores ON ruled.host = scores.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING, "op9_quality_rules": QUALITY}
+    return {
+        "op2_substring_dedup": SUBSTRING,
+        "op3_url_filters": _urls(Spread()),
+        "op4_warc": WARC,
+        "op6_chat_formatting": CHAT,
+        "op9_quality_rules": QUALITY,
+    }

@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WHITE, written
 
 # Fixed values of the contract.
-WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 REPEAT_WORDS = 5
 MIN_WORDS = 10
