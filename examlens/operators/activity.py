@@ -61,7 +61,7 @@ def _all_profiles(model: Model) -> DataFrame:
     if model.ungraded_mean is not None:
         mean = F.coalesce(mean, F.lit(model.ungraded_mean))
     pairs = (
-        model.rows()
+        model.graded_rows()
         .groupBy("student_id", *model.keys("program"))
         .agg(
             mean.alias("avg_grade"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,8 @@ def _code(result: DataFrame) -> Column:
 
 
 def _label_or_code(programs: str) -> str:
-    if programs.startswith("["):
-        return programs[1 : programs.index("]")]
-    return programs
+    label = re.match(r"\[([^\]]*)\]", programs)
+    return label[1] if label else programs
 
 
 def with_program_dimension(result: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -28,11 +29,17 @@ def with_program_dimension(result: DataFrame, dimension: DataFrame) -> DataFrame
 
 
 def filter_programs(result: DataFrame, programs: list[str] | DataFrame) -> DataFrame:
-    """Rows of the chosen programs, given by label or code or as a `program_code` table."""
+    """Rows of the chosen programs, given by label or code or as a `program_code` table.
+
+    A list becomes a table too: a plain filter would be pushed into one of several uses
+    of a shared grouping, which then could not be shared.
+    """
     if isinstance(programs, DataFrame):
         chosen = programs.select(F.col("program_code").alias("_code"))
-        return result.join(chosen, _code(result) == F.col("_code"), "left_semi")
-    return result.filter(_code(result).isin([_label_or_code(p) for p in programs]))
+    else:
+        codes = F.array(*[F.lit(_label_or_code(p)) for p in programs]).cast("array<string>")
+        chosen = result.sparkSession.range(1).select(F.explode(codes).alias("_code"))
+    return result.join(chosen, _code(result) == F.col("_code"), "left_semi")
 
 
 def filter_areas(result: DataFrame, dimension: DataFrame, areas: list[str]) -> DataFrame:

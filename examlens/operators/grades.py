@@ -8,29 +8,40 @@ from .model import Model
 
 
 def exam_mean_grade(model: Model) -> DataFrame:
-    """Mean grade per program and exam over passed, graded enrolments."""
+    """Mean grade per program and exam over passed, graded enrolments.
+
+    The wide model keeps exams that were passed without any grade, with a NULL mean.
+    """
+    where = F.col("passed") == 1
+    if not model.keeps_ungraded_exams:
+        where = where & F.col("grade").isNotNull()
     sums = model.totals(
         model.keys("program", "exam"),
-        where=(F.col("passed") == 1) & F.col("grade").isNotNull(),
+        where=where,
         _grades=F.col("grade"),
-        _n=F.lit(1),
+        _n=F.col("grade").isNotNull().cast("int"),
     )
     return model.label(sums, "program", "exam").select(
         "program_code",
         "program",
         "exam_code",
         "exam",
-        (F.col("_grades").cast("double") / F.col("_n")).alias("mean_grade"),
+        F.try_divide(F.col("_grades").cast("double"), F.col("_n")).alias("mean_grade"),
     )
 
 
+def _ranked(model: Model) -> DataFrame:
+    """Means that can be placed: there is one, and program and exam are known."""
+    return exam_mean_grade(model).dropna(subset=["program_code", "exam_code", "mean_grade"])
+
+
 def best_exams(model: Model, k: int = 3) -> DataFrame:
     """Exams with the highest means per program; equal means by exam code."""
     order = [F.desc("mean_grade"), F.asc("exam_code")]
-    return top_k(exam_mean_grade(model), ["program_code"], order, k)
+    return top_k(_ranked(model), ["program_code"], order, k)
 
 
 def worst_exams(model: Model, k: int = 3) -> DataFrame:
     """Exams with the lowest means per program; equal means by exam code."""
     order = [F.asc("mean_grade"), F.asc("exam_code")]
-    return top_k(exam_mean_grade(model), ["program_code"], order, k)
+    return top_k(_ranked(model), ["program_code"], order, k)

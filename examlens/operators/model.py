@@ -18,7 +18,7 @@ Measures = dict[str, Column]
 
 
 def _sums(measures: Measures) -> list[Column]:
-    return [F.sum(value.cast("bigint")).alias(name) for name, value in measures.items()]
+    return [F.sum(value).alias(name) for name, value in measures.items()]
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,8 @@ class StarModel:
     ungraded_mean = 0.0
     # How programs without students of the highest band enter the merit credits.
     top_band_join = "inner"
+    # Whether exams passed without any grade have a (NULL) mean.
+    keeps_ungraded_exams = False
 
     def keys(self, *entities: str) -> list[str]:
         """Grouping columns of the entities `program` and `exam`."""
@@ -67,6 +69,13 @@ class StarModel:
         """
         return self.enrolment.join(self.session.withColumn("session_day", self.date()), "session_id")
 
+    def graded_rows(self) -> DataFrame:
+        """As `rows`; a grade in an exam that is missing from the exam table is NULL."""
+        listed = self.exam.select("exam_code").distinct().withColumn("_listed", F.lit(True))
+        sessions = self.session.withColumn("session_day", self.date()).join(listed, "exam_code", "left")
+        rows = self.enrolment.join(sessions, "session_id")
+        return rows.withColumn("grade", F.when(F.col("_listed"), F.col("grade"))).drop("_listed")
+
     def totals(self, keys: list[str], where: Column | None = None, **measures: Column) -> DataFrame:
         """Sums of row measures per group of session attributes (`year` included).
 
@@ -89,6 +98,7 @@ class WideModel:
 
     ungraded_mean = None
     top_band_join = "left"
+    keeps_ungraded_exams = True
 
     def keys(self, *entities: str) -> list[str]:
         return [f"{entity}{suffix}" for entity in entities for suffix in ("_code", "")]
@@ -109,6 +119,9 @@ class WideModel:
         """Only sessions with enrolments are known to the wide table."""
         return self.enrolment
 
+    def graded_rows(self) -> DataFrame:
+        return self.rows()
+
     def rows(self) -> DataFrame:
         return self.enrolment.withColumn("session_day", self.date())
 

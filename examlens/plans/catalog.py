@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_between
@@ -13,7 +14,7 @@ from ..functions.text import short_label
 from ..operators import activity, attempts, commitment, dashboard, distribution, grades, merit, pass_rate
 from ..operators.model import Model
 from ..session import scratch_path
-from ..sources import csv, dimension, orders, views
+from ..sources import csv, dimension, orders, tables, views
 from .reports import REPORTS, choose_programs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,10 +91,9 @@ def _session_dates(model: Model) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("program_code", "session_date", model.full_year().alias("year"), model.date().alias("date"))
     )
-    first = dates.groupBy("program_code").agg(F.min("date").alias("_first"))
-    return dates.join(first, "program_code").select(
-        *dates.columns, days_between(F.col("date"), F.col("_first")).alias("days")
-    )
+    # Over different dates only: as many rows a program as it has days.
+    first = F.min("date").over(W.partitionBy("program_code"))
+    return dates.select(*dates.columns, days_between(F.col("date"), first).alias("days"))
 
 
 def _session_dates_star(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,33 @@ def _csv_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv.read_csv(spark, path, operator(model).schema)
 
 
+def _stored_star(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator on the four tables stored under their original names."""
+    root = scratch_path(spark, "stored_star")
+    tables.write_star(orders.star(spark, sf_dir), root)
+    return OPERATORS[name][0](tables.read_star(spark, root))
+
+
+def _stored_wide(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator on the wide table stored under its original names."""
+    path = scratch_path(spark, "stored_wide")
+    tables.write_wide(orders.wide(spark, sf_dir), path)
+    return OPERATORS[name][0](tables.read_wide(spark, path))
+
+
+def _sql_on_temp_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL that reads a materialised temporary table twice."""
+    model = orders.star(spark, sf_dir, student=False)
+    views.temp_table(spark, "kept_means", grades.exam_mean_grade(model), materialise=True)
+    return spark.sql(
+        """
+        SELECT program_code, program, count(*) AS n_exams, max(mean_grade) AS best_mean,
+               (SELECT max(mean_grade) FROM kept_means) AS best_of_all
+        FROM kept_means GROUP BY program_code, program
+        """
+    )
+
+
 def _json_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The program dimension written as JSON records and read back."""
     path = scratch_path(spark, "program_dimension")
@@ -150,8 +177,12 @@ def queries() -> dict[str, Query]:
     found["short_label"] = _short_label
     found["session_dates"] = _session_dates_star
     found["session_dates_wide"] = _session_dates_wide
-    found["csv_best_exams"] = partial(_csv_report, "best_exams")
-    found["csv_merit_credits"] = partial(_csv_report, "merit_credits")
+    for name in REPORTS:
+        found[f"csv_{name}"] = partial(_csv_report, name)
+    for name in ("best_exams", "merit_credits"):
+        found[f"stored_{name}"] = partial(_stored_star, name)
+        found[f"stored_{name}_wide"] = partial(_stored_wide, name)
+    found["sql_on_temp_table"] = _sql_on_temp_table
     found["json_program_dimension"] = _json_dimension
     found["sql_on_views"] = _sql_on_views
     return found

@@ -7,6 +7,7 @@ operators merge into one pass is spelt out here step by step.
 from __future__ import annotations
 
 from .catalog import CHOSEN_AREAS, CHOSEN_PROGRAMS
+from .reports import REPORTS
 
 _BASE = """
 WITH fact AS (
@@ -91,23 +92,20 @@ _LOAD = """, load AS (
 
 _MEANS = """, means AS (
   SELECT program_code, program, exam_code, exam, avg(grade) AS mean_grade
-  FROM rows_ WHERE passed = 1 AND grade IS NOT NULL GROUP BY ALL
+  FROM rows_ WHERE passed = 1{graded} GROUP BY ALL
 ), placed AS (
   SELECT *,
     row_number() OVER (PARTITION BY program_code ORDER BY mean_grade DESC, exam_code) AS from_best,
     row_number() OVER (PARTITION BY program_code ORDER BY mean_grade, exam_code) AS from_worst
-  FROM means
+  FROM means WHERE program_code IS NOT NULL AND exam_code IS NOT NULL AND mean_grade IS NOT NULL
 ), best AS (SELECT * EXCLUDE (from_best, from_worst) FROM placed WHERE from_best <= 3),
 worst AS (SELECT * EXCLUDE (from_best, from_worst) FROM placed WHERE from_worst <= 3)"""
 
 _ACTIVITY = """, pairs AS (
   SELECT program, program_code, student_id, count(*) AS n_exams
   FROM rows_ GROUP BY program, program_code, student_id
-), numbered AS (
-  SELECT n_exams, row_number() OVER (ORDER BY n_exams) AS id FROM pairs
 ), median AS (
-  SELECT n_exams AS lower_median FROM numbered
-  WHERE id = (SELECT (min(id) + max(id)) // 2 FROM numbered)
+  SELECT quantile_disc(n_exams, 0.5) AS lower_median FROM pairs
 ), active AS (
   SELECT * FROM pairs WHERE n_exams >= (SELECT lower_median FROM median)
 ), graded AS (
@@ -236,6 +234,8 @@ def _sql(name: str, model: str = "star", suffix: str = "") -> str:
         ungraded="coalesce(g.mean, 0)" if star else "g.mean",
         weight=_WEIGHTS.get(name, "0.5"),
         top_join="" if star else "LEFT",
+        # The normalised question drops exams without a grade, the wide one keeps them.
+        graded=" AND grade IS NOT NULL" if star else "",
     )
 
 
@@ -270,13 +270,16 @@ SELECT doc_id, CASE WHEN length(text) > 65 THEN substring(text, 1, 61) || '...'
 FROM documents"""
     found["session_dates"] = _STAR + _SESSION_DATES
     found["session_dates_wide"] = _WIDE + _SESSION_DATES
-    found["csv_best_exams"] = _sql("best_exams")
-    found["csv_merit_credits"] = _sql("merit_credits")
+    for name in REPORTS:
+        found[f"csv_{name}"] = _sql(name)
+    for name in ("best_exams", "merit_credits"):
+        found[f"stored_{name}"] = _sql(name)
+        found[f"stored_{name}_wide"] = _sql(name, "wide")
     found["json_program_dimension"] = _BASE + """
 SELECT program_code, program, area, department AS name, department, degree_type, language, inactive FROM dim"""
-    found["sql_on_views"] = (
+    found["sql_on_views"] = found["sql_on_temp_table"] = (
         _STAR
-        + _MEANS
+        + _fill(_MEANS, graded=" AND grade IS NOT NULL")
         + """
 SELECT program_code, program, count(*) AS n_exams, max(mean_grade) AS best_mean,
        (SELECT max(mean_grade) FROM means) AS best_of_all

@@ -33,8 +33,8 @@ class Report:
     def columns(self) -> list[Column]:
         return [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc(c) for c in self.order]
 
-    def write(self, model: Model, path: str) -> None:
-        write_csv(self.build(model), path, self.columns())
+    def write(self, model: Model, path: str, *, overwrite: bool = False) -> None:
+        write_csv(self.build(model), path, self.columns(), overwrite=overwrite)
 
 
 REPORTS = {
@@ -49,10 +49,10 @@ REPORTS = {
 }
 
 
-def write_reports(model: Model, folder: str) -> None:
-    """Every report as CSV under `folder/<name>`."""
+def write_reports(model: Model, folder: str, *, overwrite: bool = False) -> None:
+    """Every report as CSV under `folder/<name>`, in place of earlier ones if `overwrite`."""
     for name, report in REPORTS.items():
-        report.write(model, f"{folder}/{name}")
+        report.write(model, f"{folder}/{name}", overwrite=overwrite)
 
 
 def choose_programs(results: dict[str, DataFrame], programs: list[str]) -> dict[str, DataFrame]:

@@ -30,13 +30,14 @@ def build_session(
 
     AQE re-plans joins from measured sizes (broadcast only below the threshold, hash
     join without sorting the facts where every partition of the other side is small)
-    and splits the partitions of hot join keys.
+    and splits the partitions of hot join keys. The number of shuffle partitions is left
+    to the cluster unless `input_bytes` says how much is read; a configured number is
+    raised to what that needs and never lowered.
     """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes, total_cores)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -46,7 +47,13 @@ def build_session(
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    if input_bytes:
+        needed, name = shuffle_partitions(input_bytes, total_cores), "spark.sql.shuffle.partitions"
+        if session.sparkContext.getConf().contains(name):
+            needed = max(needed, int(session.conf.get(name)))
+        session.conf.set(name, str(needed))
+    return session
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -15,15 +15,18 @@ FORMAT = {
 }
 
 
-def write_csv(df: DataFrame, path: str, order: list[Column | str] | None = None) -> None:
+def write_csv(
+    df: DataFrame, path: str, order: list[Column | str] | None = None, *, overwrite: bool = False
+) -> None:
     """Write a folder of CSV files, in order from file to file if one is given.
 
     The sort is distributed by range. Give an order without equal rows (end it with
-    the key columns), or equal rows gather in one task.
+    the key columns), or equal rows gather in one task. An earlier export at `path`
+    stops the writing unless it is to be overwritten.
     """
     if order:
         df = df.orderBy(*order)
-    df.write.options(lineSep="\r\n", **FORMAT).csv(path)
+    df.write.mode("overwrite" if overwrite else "errorifexists").options(lineSep="\r\n", **FORMAT).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from compare import assert_same, connect
+from examlens.plans import catalog, oracles
 
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = oracles.oracle_sql()
 
 # Spark type name: DuckDB type name.
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
@@ -21,6 +22,11 @@ def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_result(spark, sf_dir, duck, name):
     found = QUERIES[name](spark, sf_dir)

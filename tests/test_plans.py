@@ -120,3 +120,27 @@ def test_shuffle_partitions_follow_the_input():
     assert shuffle_partitions(0, 8) == 8
     assert shuffle_partitions(100 * 2**40, 4000) == 819_200
     assert shuffle_partitions(2**30, 4) == 8
+
+
+def test_a_selection_keeps_the_shared_grouping(spark, sf_dir):
+    whole = scans(QUERIES["fast_furious"](spark, sf_dir), "l")
+    assert len(scans(QUERIES["chosen_fast_furious"](spark, sf_dir), "l")) == len(whole)
+
+
+@pytest.mark.parametrize("name", ["session_dates", "session_dates_wide"])
+def test_session_dates_scan_the_facts_once(spark, sf_dir, name):
+    assert len(scans(QUERIES[name](spark, sf_dir), "l")) == 1
+
+
+def test_a_configured_number_of_partitions_is_not_lowered(spark):
+    from examlens.session import build_session
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20000")
+    try:
+        build_session("tests")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "20000"
+        build_session("tests", input_bytes=1 << 30)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "20000"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
