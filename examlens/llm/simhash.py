@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_batches, slices, strings, written
+from .common import map_batches, shuffle_partitions, strings, written
 from .graph import components
 
 BITS = 64
@@ -63,27 +64,50 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, carried: tuple[str,
     return map_batches(source, hash_texts, schema)
 
 
-def segments(max_bits: int) -> list[tuple[int, int]]:
-    """Bounds of the fewest segments (two at least) of which one differs in at most one bit."""
-    parts = max(2, max_bits // 2 + 1)
-    edges = [BITS * i // parts for i in range(parts + 1)]
-    return list(zip(edges[:-1], edges[1:], strict=True))
+@dataclass(frozen=True)
+class Variant:
+    """A key of a fingerprint: a segment without its deleted bit (if any) and one slice of the rest."""
+
+    mask: int  # of the segment, its deleted bit left out
+    slice_mask: int
+    bit: int  # the deleted bit, or -1
+
+
+def _slices(low: int, high: int, parts: int) -> list[int]:
+    """The bits outside a segment in so many slices of about equal width, as masks."""
+    outside = [b for b in range(BITS) if not low <= b < high]
+    cuts = [len(outside) * i // parts for i in range(parts + 1)]
+    return [sum(1 << b for b in outside[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def variants(max_bits: int) -> list[Column]:
-    """The keys of a fingerprint `fp`: each segment with each of its bits deleted in turn.
+def variants(max_bits: int) -> list[Variant]:
+    """The keys under which any two fingerprints at most `max_bits` apart meet.
 
-    Two fingerprints whose segments differ in one bit meet under that very bit, on
-    different sides of it. Equal segments meet under every bit and count under the
-    first. A key is the deleted bit's place and the rest of its segment, at most 32 bits.
+    The fingerprint is cut into the fewest segments (two at least) of which one differs
+    in at most one bit. Each segment gives a key per bit, with that bit deleted: two
+    that differ in this very bit meet there, on different sides of it, and have at most
+    max_bits - 1 bits left for the other segments, so of as many slices of those as
+    max_bits one is equal; it makes part of the key. Equal segments meet under keys
+    without a deleted bit, with a slice more.
     """
-    keys = []
-    for low, high in segments(max_bits):
-        mask = ((1 << (high - low)) - 1) << low
-        for bit in range(low, high):
-            rest = F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(mask & ~(1 << bit)))), low)
-            keys.append(rest + F.lit(bit << 40))
-    return keys
+    parts = max(2, max_bits // 2 + 1)
+    edges = [BITS * i // parts for i in range(parts + 1)]
+    found = []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        whole = (1 << high) - (1 << low)
+        found += [Variant(whole, s, -1) for s in _slices(low, high, max_bits + 1)]
+        if max_bits:
+            found += [Variant(whole & ~(1 << bit), s, bit) for bit in range(low, high) for s in _slices(low, high, max_bits)]
+    return found
+
+
+def _keyed(prints: DataFrame, found: list[Variant]) -> DataFrame:
+    """`fp` and `key`: the variant's number in the top ten bits, a hash of its bits of `fp` below."""
+    masks = [F.struct(F.lit(_signed(i << 54)), F.lit(_signed(v.mask | v.slice_mask))) for i, v in enumerate(found)]
+    spread = prints.repartition(shuffle_partitions(prints.sparkSession), "fp")
+    each = spread.select("fp", F.inline(F.array(*masks)).alias("number", "mask"))
+    hashed = F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")))
+    return each.select("fp", F.col("number").bitwiseOR(F.shiftrightunsigned(hashed, 10)).alias("key"))
 
 
 def _signed(value: int) -> int:
@@ -112,13 +136,13 @@ def _pairs(fp: np.ndarray, side: np.ndarray, any_side: bool, max_bits: int) -> l
     return links
 
 
-def _linked(table: pa.Table, lows: np.ndarray, max_bits: int) -> pa.RecordBatch:
+def _linked(table: pa.Table, bits: np.ndarray, max_bits: int) -> pa.RecordBatch:
     """Links within the groups of a table that is sorted by `group`."""
     group, key, fp = (np.asarray(table.column(c).combine_chunks()) for c in ("group", "key", "fp"))
     fp = fp.view(np.uint64)
-    bit = key >> 40
-    any_side = np.isin(bit, lows)
-    side = (fp >> bit.astype(np.uint64)) & np.uint64(1)
+    bit = bits[key.view(np.uint64) >> np.uint64(54)]
+    any_side = bit < 0
+    side = (fp >> np.maximum(bit, 0).astype(np.uint64)) & np.uint64(1)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.append(starts, len(group)))
     small = np.repeat(sizes <= SMALL, sizes)
@@ -140,7 +164,7 @@ def _linked(table: pa.Table, lows: np.ndarray, max_bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
 
 
-def _search(batches: Iterator[pa.RecordBatch], lows: np.ndarray, max_bits: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], bits: np.ndarray, max_bits: int) -> Iterator[pa.RecordBatch]:
     """Links in rows sorted by group; a group may go on in the next batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -150,16 +174,16 @@ def _search(batches: Iterator[pa.RecordBatch], lows: np.ndarray, max_bits: int)
         last = int(np.searchsorted(group, group[-1]))
         if held and held[0].column("group")[-1].as_py() != group[-1]:
             held.append(batch.slice(0, last))
-            yield _linked(pa.Table.from_batches(held), lows, max_bits)
+            yield _linked(pa.Table.from_batches(held), bits, max_bits)
             held = [batch.slice(last)]
         elif held:
             held.append(batch)
         else:
             if last:
-                yield _linked(pa.Table.from_batches([batch.slice(0, last)]), lows, max_bits)
+                yield _linked(pa.Table.from_batches([batch.slice(0, last)]), bits, max_bits)
             held = [batch.slice(last)]
     if held:
-        yield _linked(pa.Table.from_batches(held), lows, max_bits)
+        yield _linked(pa.Table.from_batches(held), bits, max_bits)
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
@@ -171,12 +195,16 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
     their own, so no task holds a whole hot key and no pair is missed. Groups that
     meet in one 64-bit group number only compare more; every link is verified.
     """
-    lows = [low for low, _ in segments(max_bits)]
-    rows = prints.select("fp", F.explode(F.array(*variants(max_bits))).alias("key"))
-    bit = F.expr("int(shiftright(key, 40))")
-    side = F.expr("shiftrightunsigned(fp, int(shiftright(key, 40))) & 1")
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(side).alias("lo"), F.max(side).alias("hi"))
-    shared = counts.where((F.col("n") > 1) & (bit.isin(lows) | (F.col("lo") < F.col("hi")))).select("key", "n")
+    found = variants(max_bits)
+    rows = _keyed(prints, found)
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("all"))
+    # The bit a key leaves out, as a mask; a key whose fingerprints agree in it links none.
+    left_out = F.element_at(
+        F.array(*[F.lit(_signed(1 << v.bit) if v.bit >= 0 else 0) for v in found]),
+        F.shiftrightunsigned("key", 54).cast("int") + 1,
+    )
+    differ = (F.col("some").bitwiseXOR(F.col("all"))).bitwiseAND(left_out) != 0
+    shared = counts.where((F.col("n") > 1) & ((left_out == 0) | differ)).select("key", "n")
     blocks = F.ceil(F.col("n") / block).cast("int")
     met = (
         rows.join(shared.hint("shuffle_hash"), "key")
@@ -188,8 +216,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     ordered = met.select(group.alias("group"), "key", "fp").repartition("group").sortWithinPartitions("group")
     schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    places = np.array(lows)
-    return map_batches(ordered, lambda batches: _search(batches, places, max_bits), schema).distinct()
+    bits = np.array([v.bit for v in found])
+    return map_batches(ordered, lambda batches: _search(batches, bits, max_bits), schema).distinct()
 
 
 def classes(prints: DataFrame, id_column: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
