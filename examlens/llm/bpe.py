@@ -27,6 +27,9 @@ from .common import byte_lengths, map_batches, ragged, ship, slices, strings
 from .tokenizing import UNSURE
 
 BLOCK_BYTES = 16 << 20
+WORDS_AT_ONCE = 200_000
+CODES_AT_ONCE = 500_000
+OTHER_ORDER = "the rows came in another order the second time; write the table first"
 
 
 @functools.lru_cache(maxsize=2)
@@ -122,6 +125,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int,
             number += 1
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _pack(number: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """Rising word numbers, how many ids each has, and the ids, in one compressed piece."""
+    return _squeeze(np.concatenate(([len(number)], np.diff(number, prepend=0), sizes, ids)))
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values = _expand(data)
+    n = int(values[0])
+    return np.cumsum(values[1 : n + 1], dtype=np.int64), values[n + 1 : 2 * n + 1].astype(np.int64), values[2 * n + 1 :]
+
+
 def _squeeze(codes: np.ndarray) -> bytes:
     """Numbers byte by byte, lowest bytes first, compressed: frequent ones are small."""
     planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -162,7 +187,7 @@ def encode(
             StructField("codes", BinaryType()),
         ]
     )
-    ids_schema = StructType([*word_schema.fields[:2], StructField("ids", BinaryType())])
+    ids_schema = StructType([word_schema.fields[0], StructField("packed", BinaryType())])
     out_schema = StructType(
         [StructField(id_column, id_field.dataType), StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
     )
@@ -188,40 +213,50 @@ def encode(
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(ranks_file, pattern)
-        last_word, last_ids = None, b""
-        for batch in batches:
-            once = batch.column("word").dictionary_encode()
-            distinct = once.dictionary.to_pylist()
-            ids = [
-                last_ids if w == last_word else np.array(encoding.encode_ordinary(w), dtype="<u4").tobytes() for w in distinct
+        for table in _gathered(batches, WORDS_AT_ONCE):
+            once = table.column("word").combine_chunks().dictionary_encode()
+            each = [np.array(encoding.encode_ordinary(w), dtype=np.uint32) for w in once.dictionary.to_pylist()]
+            sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+            flat, begins = np.concatenate(each), np.cumsum(sizes) - sizes
+            block, number = (np.asarray(table.column(c).combine_chunks()) for c in ("block", "number"))
+            order = np.lexsort((number, block))
+            block, number, word = block[order], number[order], np.asarray(once.indices)[order]
+            starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            packed = [
+                _pack(number[x:y], sizes[word[x:y]], flat[ragged(begins[word[x:y]], sizes[word[x:y]])])
+                for x, y in zip(starts, np.append(starts[1:], len(block)), strict=True)
             ]
-            if distinct:
-                last_word, last_ids = distinct[-1], ids[-1]
-            columns = [batch.column("block"), batch.column("number"), pa.array(ids, pa.binary()).take(once.indices)]
-            yield pa.RecordBatch.from_arrays(columns, names=ids_schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(packed, pa.binary())], names=ids_schema.names)
 
     def assemble(texts: pa.Table, table: pa.Table) -> pa.Table:
         lengths_of = token_table(ranks_file)[2]
-        number = np.asarray(table.column("number").combine_chunks())
-        order = np.argsort(number)
-        column = table.column("ids").combine_chunks()
-        stored = np.asarray(pc.binary_length(column), dtype=np.int64) // 4
-        sizes, begins = stored[order], (np.cumsum(stored) - stored)[order]
-        flat = np.frombuffer(b"".join(column.to_pylist()), dtype="<u4")
+        parts = [_unpack(p.as_py()) for p in table.column("packed")]
+        number, stored, flat = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+        sizes, begins = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        sizes[number], begins[number] = stored, np.cumsum(stored) - stored
         made = []
         for row in texts.to_batches():
             for i in range(row.num_rows):
                 codes = _expand(row.column("codes")[i].as_py())
-                n_words = np.asarray(row.column("n_words")[i].values)
-                many = sizes[codes]
-                ids = flat[ragged(begins[codes], many)]
-                ends = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(n_words)))]
-                total = np.concatenate(([0], np.cumsum(lengths_of[ids])))[ends]
-                if (np.diff(total) != np.asarray(row.column("n_bytes")[i].values)).any():
-                    raise ValueError("the rows came in another order the second time; write the table first")
-                offsets = pa.py_buffer((ends * 4).astype(np.int32))
-                binary = pa.Array.from_buffers(pa.binary(), len(n_words), [None, offsets, pa.py_buffer(ids.astype("<u4").tobytes())])
-                made.append(pa.Table.from_arrays([row.column("id")[i].values, pa.array(np.diff(ends)), binary], names=out_schema.names))
+                if len(codes) and codes.max() >= len(sizes):
+                    raise ValueError(OTHER_ORDER)
+                ids, n_words, n_bytes = row.column("id")[i].values, *(np.asarray(row.column(c)[i].values) for c in ("n_words", "n_bytes"))
+                ends = np.concatenate(([0], np.cumsum(n_words)))
+                at = 0
+                while at < len(ids):  # some rows at a time: memory follows the block's codes, not its ids
+                    stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CODES_AT_ONCE, side="right")) - 1)
+                    part = codes[ends[at] : ends[stop]]
+                    many = sizes[part]
+                    found = flat[ragged(begins[part], many)]
+                    bounds = np.concatenate(([0], np.cumsum(many)))[ends[at : stop + 1] - ends[at]]
+                    total = np.concatenate(([0], np.cumsum(lengths_of[found])))[bounds]
+                    if (np.diff(total) != n_bytes[at:stop]).any():
+                        raise ValueError(OTHER_ORDER)
+                    offsets = pa.py_buffer((bounds * 4).astype(np.int32))
+                    binary = pa.Array.from_buffers(pa.binary(), stop - at, [None, offsets, pa.py_buffer(found.astype("<u4").tobytes())])
+                    columns = [ids.slice(at, stop - at), pa.array(np.diff(bounds)), binary]
+                    made.append(pa.Table.from_arrays(columns, names=out_schema.names))
+                    at = stop
         return pa.concat_tables(made)
 
     ship(docs.sparkSession)
@@ -243,7 +278,7 @@ def decode(encoded: DataFrame, ranks_file: str, *, ids_column: str = "ids", out_
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, lengths = token_table(ranks_file)
         for batch in batches:
-            for start, stop in slices(batch.column(ids_column)):
+            for start, stop in slices(batch.column(ids_column), 1 << 20):
                 part = batch.slice(start, stop - start)
                 column = pc.fill_null(part.column(ids_column), pa.scalar(b"", pa.binary()))
                 ids = np.frombuffer(b"".join(x.as_buffer() for x in column), dtype="<u4")
