@@ -9,18 +9,18 @@ are then extended: the full windows around them are hashed and compared.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import Words, batches_by_size, map_batches, strings, written
+from .common import WHITE, Words, batches_by_size, map_batches, slices, written
 
 LENGTH = 50
 
@@ -59,23 +59,29 @@ class Rolling:
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The id and the hash of the text name a row; rows equal in both are repeats of each other."""
+    """The id and a hash of the text name a row; rows equal in both are repeats of each other."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return docs.select(F.col(id_column).alias("id"), _tag(text).alias("tag"), text.alias("text"))
+
+
+def _tag(text: Column) -> Column:
+    """Tells texts under one id apart: 40 bits, as every anchor and window carries it."""
+    return F.shiftrightunsigned(F.xxhash64(text), 24)
+
+
+def _facts(docs: DataFrame) -> DataFrame:
+    """Every row's number of words and the digest of its words joined by one space."""
+    joined = F.regexp_replace(F.btrim("text", F.lit(WHITE)), "[\\x20\\x09-\\x0D]+", " ")
+    blanks = F.length("joined") - F.length(F.replace("joined", F.lit(" "), F.lit("")))
+    words = F.when(F.col("joined") == "", 0).otherwise(blanks + 1).cast("long")
+    named = docs.select("id", "tag", joined.alias("joined"))
+    return named.select("id", "tag", words.alias("n_words"), F.unhex(F.sha2("joined", 256)).alias("digest"))
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """Every row with its number of words, the digest of the words and its anchors."""
-    anchor = StructType([StructField("h", LongType()), StructField("at", IntegerType())])
-    schema = StructType(
-        [
-            docs.schema["id"],
-            docs.schema["tag"],
-            StructField("n_words", LongType()),
-            StructField("digest", StringType()),
-            StructField("anchors", ArrayType(anchor)),
-        ]
-    )
+    """The anchors `h` of every row, with their places `at`."""
+    fields = [docs.schema["id"], docs.schema["tag"], StructField("h", LongType()), StructField("at", IntegerType())]
+    schema = StructType(fields)
     width = length - PERIOD + 1
     on_cover = np.zeros(PERIOD, dtype=bool)
     on_cover[list(COVER)] = True
@@ -83,31 +89,22 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(MULTIPLIERS[0], 1)
         for batch in batches_by_size(batches, "text"):
-            texts = strings(batch.column("text"))
-            words = Words(texts)
+            words = Words(batch.column("text"))
             hashed = rolling.words(words.distinct.to_pylist())
-            hashes, places, bounds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
-            counts, digests = np.diff(words.rows), []
-            for row, text in enumerate(texts):
-                digests.append(hashlib.sha256(b" ".join(text.as_buffer().to_pybytes().split())).hexdigest())
-                n = int(counts[row])
-                if n >= length:
-                    starts = np.flatnonzero(on_cover[np.arange(n - width + 1) % PERIOD])
-                    hashes.append(rolling.windows(hashed[words.of(row)], starts, width))
-                    places.append(starts)
-                    bounds.append(bounds[-1] + len(starts))
-                else:
-                    bounds.append(bounds[-1])
-            flat = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "at"]
-            )
+            sizes, hashes, places = np.zeros(len(words), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in np.flatnonzero(np.diff(words.rows) >= length):
+                codes = words.of(row)
+                starts = np.flatnonzero(on_cover[np.arange(len(codes) - width + 1) % PERIOD])
+                hashes.append(rolling.windows(hashed[codes], starts, width))
+                places.append(starts)
+                sizes[row] = len(starts)
+            rows = pa.array(np.repeat(np.arange(len(words)), sizes))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
-                    batch.column("tag"),
-                    pa.array(counts),
-                    pa.array(digests),
-                    pa.ListArray.from_arrays(pa.array(np.array(bounds, dtype=np.int32)), flat),
+                    batch.column("id").take(rows),
+                    batch.column("tag").take(rows),
+                    pa.array(np.concatenate(hashes)),
+                    pa.array(np.concatenate(places).astype(np.int32)),
                 ],
                 names=schema.names,
             )
@@ -115,6 +112,30 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     return map_batches(docs, find, schema)
 
 
+def _small(docs: DataFrame) -> DataFrame:
+    """The texts compressed, for their way through the shuffle."""
+    schema = StructType([docs.schema["id"], docs.schema["tag"], StructField("packed", BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches_by_size(batches, "text"):
+            packed = [squeeze.compress(t.as_buffer()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("tag"), pa.array(packed, pa.binary())], names=schema.names
+            )
+
+    return map_batches(docs, pack, schema)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches with at most 2 MB of compressed text, or one row, and the texts."""
+    expand = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for start, stop in slices(batch.column("packed"), 2 << 20):
+            part = batch.slice(start, stop - start)
+            yield part, [expand.decompress(p.as_buffer()) for p in part.column("packed")]
+
+
 def _shared(low: str = "low", high: str = "high", none: str = "none") -> Column:
     """Rows of two ids met, or one with an id and one without, which counts as the last."""
     return (F.col(low) < F.col(high)) | (F.col(low).isNotNull() & F.col(none))
@@ -139,8 +160,8 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rollings = [Rolling(m, seed) for seed, m in enumerate(MULTIPLIERS, 11)]
-        for batch in batches_by_size(batches, "text"):
-            words = Words(batch.column("text"))
+        for batch, texts in _unpacked(batches):
+            words = Words(pa.array(texts, pa.binary()).cast(pa.string()))
             distinct = words.distinct.to_pylist()
             hashed = [r.words(distinct) for r in rollings]
             places = batch.column("places")
@@ -179,10 +200,10 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
     )
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_size(batches, "text"):
+        for batch, texts in _unpacked(batches):
             removed, kept = [], []
-            for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
-                words = text.as_buffer().to_pybytes().split()
+            for text, places in zip(texts, batch.column("places"), strict=True):
+                words = text.split()
                 starts = np.unique(np.asarray(places.values, dtype=np.int64))
                 change = np.zeros(len(words) + 1, dtype=np.int64)
                 change[starts] += 1
@@ -214,22 +235,23 @@ def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFr
     no windows of its own, so of a group of copies only the first is looked into. The
     texts move once, by the row's name, and serve both the windows and the cut.
     """
-    facts = written(_anchors(docs, length), "anchors")
+    facts = written(_facts(docs), "word_facts")
     long = facts.where(F.col("n_words") >= length).select("id", "tag", "digest")
     first = long.groupBy("digest").agg(F.min("id").alias("first"))
     copies = long.join(first, "digest").where(_later(F.col("first"))).select("id", "tag").distinct()
 
-    anchors = facts.select("id", "tag", F.inline("anchors"))
+    anchors = _anchors(docs, length)
     group = [F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("none")]
-    shared = facts.select("id", F.inline("anchors")).groupBy("h").agg(*group).where(_shared()).select("h")
+    shared = anchors.groupBy("h").agg(*group).where(_shared()).select("h")
     met = anchors.join(shared.hint("shuffle_hash"), "h")
     places = met.groupBy("id", "tag").agg(F.collect_list("at").alias("places"))
-    windows = _windows(_join(docs, _join(places, copies, "left_anti"), "inner"), length)
+    texts = _small(docs)
+    windows = _windows(_join(texts, _join(places, copies, "left_anti"), "inner"), length)
     same = W.partitionBy("h1", "h2").orderBy(F.asc_nulls_last("id"))
     taken = windows.withColumn("first", F.first("id").over(same.rowsBetween(W.unboundedPreceding, W.currentRow)))
     gone = taken.where(_later(F.col("first"))).groupBy("id", "tag").agg(F.collect_set("at").alias("places"))
-    lost = _cut(_join(docs, gone, "inner"), length)
-    return facts.select("id", "tag", "n_words", "digest"), copies, lost
+    lost = _cut(_join(texts, gone, "inner"), length)
+    return facts, copies, lost
 
 
 def substring_dedup(
@@ -258,7 +280,7 @@ def substring_dedup(
         "n_words",
         F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copied"), F.sha2(F.lit(""), 256))
-        .otherwise(F.coalesce("kept_sha256", "digest"))
+        .otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest"))))
         .alias("kept_sha256"),
     )
 
@@ -274,7 +296,7 @@ def without_repeats(
     keyed = _keyed(docs, id_column, text_column)
     _, copies, lost = _repeats(keyed, length)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_column).alias("id"),
-                       F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("tag"))
+                       _tag(F.coalesce(F.col(text_column), F.lit(""))).alias("tag"))
     lost = lost.select("id", "tag", "kept").dropDuplicates(["id", "tag"])
     left = _join(_join(rows, copies, "left_anti"), lost, "left").where("kept is null or kept <> ''")
     text = F.coalesce("kept", F.col("_row")[text_column])
