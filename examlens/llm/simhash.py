@@ -19,6 +19,9 @@ BITS = 64
 SEED = 42  # fixed value of the contract
 SHINGLE = 4
 MAX_BITS = 4
+# Of a key, below its variant's number. The bits that a key keeps are fewer; six bytes a
+# key matter, as every variant of every fingerprint goes through two shuffles.
+HASH_BITS = 38
 # Groups of more fingerprints are cut into blocks of about this many.
 BLOCK = 4096
 # Groups of up to so many are compared pair by pair, larger ones search link by link.
@@ -102,12 +105,26 @@ def variants(max_bits: int) -> list[Variant]:
 
 
 def _keyed(prints: DataFrame, found: list[Variant]) -> DataFrame:
-    """`fp` and `key`: the variant's number in the top ten bits, a hash of its bits of `fp` below."""
-    masks = [F.struct(F.lit(_signed(i << 54)), F.lit(_signed(v.mask | v.slice_mask))) for i, v in enumerate(found)]
+    """`fp`, `key` and `side`, whether the bit that the key leaves out is set.
+
+    A key has its variant's number above HASH_BITS bits, a hash of its bits of `fp` in them.
+    """
+    masks = [
+        F.struct(
+            F.lit(i << HASH_BITS),
+            F.lit(_signed(v.mask | v.slice_mask)),
+            F.lit(_signed(1 << v.bit) if v.bit >= 0 else 0),
+        )
+        for i, v in enumerate(found)
+    ]
     spread = prints.repartition(shuffle_partitions(prints.sparkSession), "fp")
-    each = spread.select("fp", F.inline(F.array(*masks)).alias("number", "mask"))
-    hashed = F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")))
-    return each.select("fp", F.col("number").bitwiseOR(F.shiftrightunsigned(hashed, 10)).alias("key"))
+    each = spread.select("fp", F.inline(F.array(*masks)).alias("number", "mask", "left_out"))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask"))), BITS - HASH_BITS)
+    return each.select(
+        "fp",
+        F.col("number").bitwiseOR(hashed).alias("key"),
+        (F.col("fp").bitwiseAND(F.col("left_out")) != 0).alias("side"),
+    )
 
 
 def _signed(value: int) -> int:
@@ -140,7 +157,7 @@ def _linked(table: pa.Table, bits: np.ndarray, max_bits: int) -> pa.RecordBatch:
     """Links within the groups of a table that is sorted by `group`."""
     group, key, fp = (np.asarray(table.column(c).combine_chunks()) for c in ("group", "key", "fp"))
     fp = fp.view(np.uint64)
-    bit = bits[key.view(np.uint64) >> np.uint64(54)]
+    bit = bits[key >> HASH_BITS]
     any_side = bit < 0
     side = (fp >> np.maximum(bit, 0).astype(np.uint64)) & np.uint64(1)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
@@ -197,17 +214,18 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
     """
     found = variants(max_bits)
     rows = _keyed(prints, found)
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("all"))
-    # The bit a key leaves out, as a mask; a key whose fingerprints agree in it links none.
-    left_out = F.element_at(
-        F.array(*[F.lit(_signed(1 << v.bit) if v.bit >= 0 else 0) for v in found]),
-        F.shiftrightunsigned("key", 54).cast("int") + 1,
+    # One number a key, as it is shuffled: fingerprints in the low half, those with the bit set above.
+    counts = rows.groupBy("key").agg(F.sum(F.when(F.col("side"), (1 << 32) + 1).otherwise(1)).alias("met"))
+    n, turned = F.col("met").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("met", 32)
+    # A key that leaves out a bit in which its fingerprints agree links none.
+    whole = F.element_at(
+        F.array(*[F.lit(v.bit < 0) for v in found]), F.shiftrightunsigned("key", HASH_BITS).cast("int") + 1
     )
-    differ = (F.col("some").bitwiseXOR(F.col("all"))).bitwiseAND(left_out) != 0
-    shared = counts.where((F.col("n") > 1) & ((left_out == 0) | differ)).select("key", "n")
+    shared = counts.where((n > 1) & (whole | ((turned > 0) & (turned < n)))).select("key", n.alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     met = (
-        rows.join(shared.hint("shuffle_hash"), "key")
+        rows.select("fp", "key")
+        .join(shared.hint("shuffle_hash"), "key")
         .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
