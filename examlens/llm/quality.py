@@ -208,19 +208,22 @@ def quality_rules(
     """
     row = [F.struct(*carried).alias(CARRIED)] if carried else []
     stratum = F.coalesce(F.col(stratum_column).cast("string"), F.lit(""))
-    columns = [F.col(id_column).alias("_id"), stratum.alias("stratum"), *row]
+    columns = [F.col(id_column).alias("_id"), stratum.alias("stratum")]
     counted = written(_counted(docs, text_column, columns), "quality_counts")
+    # Carried columns would be written whole, so their rows are counted again instead.
+    rows = _counted(docs, text_column, [*columns, *row]) if carried else counted
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
     named = labels.groupBy(F.col(id_column).alias("_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     good = counted.where(~failed).join(named.where("low = 1 and high = 1"), "_id", "left_semi")
-    limits = cutoffs(good.select("stratum", "n_lines", *COUNTS), risk)
+    # Written, so that Spark knows their size and moves no document where they are small.
+    limits = written(cutoffs(good.select("stratum", "n_lines", *COUNTS), risk), "quality_cutoffs")
     over = [F.coalesce(_level(n) > F.col(f"c_{n}"), F.lit(False)) for n in SIGNALS]
     rejected = over[0]
     for x in over[1:]:
         rejected = rejected | x
-    judged = counted.join(limits, "stratum", "left")
+    judged = rows.join(limits, "stratum", "left")
     return judged.select(
         F.col("_id").alias(id_column),
         *COUNTS,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -282,21 +283,34 @@ def one_per_group(
 ) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest id.
 
-    Among repeated ids one row stays, a null id comes last; the columns are those of
-    `docs`. The choice is made on numbers; the rows themselves move once, when the
-    chosen ones are picked.
+    Among repeated ids the row with the smallest hash of its text stays, among rows equal
+    in both the one with the smallest hash of all its columns (any of them where a column
+    cannot be hashed); a null id comes last. The columns are those of `docs`.
+
+    The choice is made on numbers. The rows are read again to pick the chosen ones, under
+    128 bits of hash of id and text; they move once and are not written in between.
     """
-    columns = docs.columns
-    source = docs.select(F.struct(*columns).alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_body"))
-    source = source.withColumn("_key", F.monotonically_increasing_id())
-    prints = fingerprints(source, shingle=shingle, carried=("_row", "_id", "_key"), text_column="_body")
-    prints = written(prints, "simhash_rows")
-    narrow = prints.select("_id", "_key", "fp")
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_key"))
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    name = F.struct(
+        F.xxhash64(F.lit(1), id_column, text).alias("h1"), F.xxhash64(F.lit(2), text, id_column).alias("h2")
+    )
+    source = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(id_column).alias("_id"), text.alias("_body"), name.alias("_name")
+    ).select("_row", "_id", "_body", "_name.*")
+    prints = written(fingerprints(source, shingle=shingle, carried=("_id", "h1", "h2"), text_column="_body"), "simhash_prints")
+    named = prints.groupBy("_id", "h1", "h2", "fp").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "h1", "h2", "n")
     chosen = (
-        narrow.join(classes(narrow, "_id", max_bits).select("fp", "root"), "fp")
+        named.join(classes(prints, "_id", max_bits).select("fp", "root"), "fp")
         .groupBy("root")
         .agg(F.min(order).alias("first"))
-        .select(F.col("first._key").alias("_key"))
+        .select("first.h1", "first.h2", "first.n")
     )
-    return prints.select("_row", "_key").join(chosen, "_key", "left_semi").select("_row.*")
+    chosen = written(chosen, "simhash_chosen")
+    met = source.select("_row", "h1", "h2").join(chosen, ["h1", "h2"])
+    once = met.where("n = 1").select("_row.*")
+    # Repeats of a chosen row; they are combined before their shuffle.
+    plain = [c for c, kind in docs.dtypes if not re.search("map<|variant", kind)]
+    smallest = F.min_by("_row", F.xxhash64(*[F.col("_row")[c] for c in plain]))
+    repeats = met.where("n > 1").groupBy("h1", "h2").agg(smallest.alias("_row")).select("_row.*")
+    return once.unionAll(repeats)
