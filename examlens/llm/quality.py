@@ -208,10 +208,10 @@ def quality_rules(
     """
     row = [F.struct(*carried).alias(CARRIED)] if carried else []
     stratum = F.coalesce(F.col(stratum_column).cast("string"), F.lit(""))
-    columns = [F.col(id_column).alias("_id"), stratum.alias("stratum")]
+    columns = [F.col(id_column).alias("_id"), stratum.alias("stratum"), *row]
+    # Written before anything is asked of the counts: a filter on them, pushed into the
+    # expressions that make them, would work each out many times over.
     counted = written(_counted(docs, text_column, columns), "quality_counts")
-    # Carried columns would be written whole, so their rows are counted again instead.
-    rows = _counted(docs, text_column, [*columns, *row]) if carried else counted
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
@@ -223,7 +223,7 @@ def quality_rules(
     rejected = over[0]
     for x in over[1:]:
         rejected = rejected | x
-    judged = rows.join(limits, "stratum", "left")
+    judged = counted.join(limits, "stratum", "left")
     return judged.select(
         F.col("_id").alias(id_column),
         *COUNTS,
