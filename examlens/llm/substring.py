@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import WHITE, Words, batches_by_size, map_batches, slices, written
 
@@ -146,8 +147,24 @@ def _later(first: Column) -> Column:
     return (first < F.col("id")) | (F.col("id").isNull() & first.isNotNull())
 
 
+def _decided(order: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which of some windows have an equal one with a smaller id among them; `order` ranks the ids."""
+    by = np.lexsort((order, h2, h1))
+    a, b = h1[by], h2[by]
+    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    low = np.repeat(order[by][starts], np.diff(np.append(starts, len(by))))
+    later = np.zeros(len(by), dtype=bool)
+    later[by] = order[by] > low
+    return later
+
+
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """The full windows around the shared anchors `places` of every row, under 128 bits of hash."""
+    """The full windows around the shared anchors `places` of every row, under 128 bits of hash.
+
+    Of the equal windows of one batch only those of the smallest id go on as rows with
+    their place `at`. The others are lost already: their places are the list `sure` of
+    one row a document, under a hash that is no window's, which spreads those rows.
+    """
     schema = StructType(
         [
             rows.schema["id"],
@@ -155,9 +172,14 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
             StructField("h1", LongType()),
             StructField("h2", LongType()),
             StructField("at", IntegerType()),
+            StructField("sure", ArrayType(IntegerType())),
         ]
     )
 
+    def arrow_schema(batch: pa.RecordBatch) -> pa.Schema:
+        kinds = [*(batch.schema.field(c).type for c in ("id", "tag")), pa.int64(), pa.int64(), pa.int32()]
+        return pa.schema(list(zip(schema.names, [*kinds, pa.list_(pa.int32())], strict=True)))
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rollings = [Rolling(m, seed) for seed, m in enumerate(MULTIPLIERS, 11)]
         for batch, texts in _unpacked(batches):
@@ -165,7 +187,7 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
             distinct = words.distinct.to_pylist()
             hashed = [r.words(distinct) for r in rollings]
             places = batch.column("places")
-            found: list[list[np.ndarray]] = [[], [], []]
+            found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
             sizes = np.zeros(batch.num_rows, dtype=np.int64)
             for row in range(batch.num_rows):
                 codes = words.of(row)
@@ -178,16 +200,35 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
                 sizes[row] = len(starts)
                 for out, r, h in zip(found, rollings, hashed, strict=False):
                     out.append(r.windows(h[codes], starts, length))
-                found[2].append(starts.astype(np.int32))
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+                found[2].append(starts)
+            of = np.repeat(np.arange(batch.num_rows), sizes)
+            h1, h2, at = (np.concatenate(x) for x in found)
+            order = np.asarray(pc.rank(batch.column("id"), null_placement="at_end", tiebreaker="dense"), dtype=np.int64)
+            later = _decided(order[of], h1, h2)
+            open_ = ~later
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(rows),
-                    batch.column("tag").take(rows),
-                    *(pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in found[:2]),
-                    pa.array(np.concatenate(found[2])) if found[2] else pa.array([], pa.int32()),
+                    *(batch.column(c).take(pa.array(of[open_])) for c in ("id", "tag")),
+                    pa.array(h1[open_]),
+                    pa.array(h2[open_]),
+                    pa.array(at[open_].astype(np.int32)),
+                    pa.nulls(int(open_.sum()), pa.list_(pa.int32())),
                 ],
-                names=schema.names,
+                schema=arrow_schema(batch),
+            )
+            sure, first, n = np.unique(of[later], return_index=True, return_counts=True)
+            offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            tags = batch.column("tag").take(pa.array(sure))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").take(pa.array(sure)),
+                    tags,
+                    pa.array((np.asarray(tags).view(np.uint64) * np.uint64(MULTIPLIERS[1])).view(np.int64)),
+                    pa.array(~h2[later][first]),
+                    pa.nulls(len(sure), pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[later].astype(np.int32))),
+                ],
+                schema=arrow_schema(batch),
             )
 
     return map_batches(rows, extend, schema)
@@ -249,8 +290,9 @@ def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFr
     windows = _windows(_join(texts, _join(places, copies, "left_anti"), "inner"), length)
     same = W.partitionBy("h1", "h2").orderBy(F.asc_nulls_last("id"))
     taken = windows.withColumn("first", F.first("id").over(same.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    gone = taken.where(_later(F.col("first"))).groupBy("id", "tag").agg(F.collect_set("at").alias("places"))
-    lost = _cut(_join(texts, gone, "inner"), length)
+    gone = taken.where(F.col("sure").isNotNull() | _later(F.col("first"))).groupBy("id", "tag")
+    starts = F.concat(F.collect_set("at"), F.flatten(F.collect_list("sure"))).alias("places")
+    lost = _cut(_join(texts, gone.agg(starts), "inner"), length)
     return facts, copies, lost
 
 
@@ -266,10 +308,11 @@ def substring_dedup(
     other, equal rows get equal results; an empty table gives none; other columns are
     not read. `length` is at least 31, the period of the cover.
 
-    A window's hash has at most one row per document and position, and every shared
-    passage gives as many hashes as it has windows around its anchors, so the rows
-    spread over the hashes; the anchors are combined before their shuffle and the join
-    with the shared ones is split by AQE where one is hot.
+    Equal windows are combined before their shuffle: of a passage in many documents each
+    batch of texts sends the windows of its smallest id alone, so a hot hash has as many
+    rows as there are batches. They go through one streamed, spilling window function.
+    The anchors are combined before their shuffle as well, and the join with the shared
+    ones is split by AQE where one is hot.
     """
     facts, copies, lost = _repeats(_keyed(docs, id_column, text_column), length)
     copied = copies.withColumn("copied", F.lit(True))
