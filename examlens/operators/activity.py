@@ -111,3 +111,23 @@ def weighted_fast_furious(model: Model, grade_weight: float) -> DataFrame:
     speed = (F.lit(1.0) - F.col("diff_day_norm")) * F.col("n_exams_norm")
     score = F.lit(float(grade_weight)) * F.col("avg_grade_norm") + F.lit(1.0 - grade_weight) * speed
     return normed.withColumn("score", score)
+
+
+def grade_per_active_day(model: Model) -> DataFrame:
+    """Mean grade of passed exams over the days from first to last session, per student.
+
+    The question as asked, beside `fast_furious`: every enrolment counts for the days,
+    passed or not. No passed exam with a grade, or a single day, gives a NULL ratio.
+    """
+    pairs = (
+        model.rows()
+        .groupBy("student_id", *model.keys("program"))
+        .agg(
+            F.avg(F.when(F.col("passed") == 1, F.col("grade"))).alias("avg_grade"),
+            days_between(F.max("session_day"), F.min("session_day")).alias("active_days"),
+        )
+    )
+    ratio = F.try_divide("avg_grade", "active_days").alias("ratio")
+    return model.label(pairs, "program").select(
+        "program_code", "program", "student_id", "avg_grade", "active_days", ratio
+    )

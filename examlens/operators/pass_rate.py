@@ -30,6 +30,17 @@ def hardest_exams(model: Model, k: int = 10) -> DataFrame:
     return hardest_of(exam_pass_rate(model), k)
 
 
+def hardest_exams_overall(model: Model, k: int = 10) -> DataFrame:
+    """The k exams with the lowest pass rate of each program and year; equal ones by exam code.
+
+    The question as asked, beside `hardest_exams`. The year is the calendar year of the
+    sessions; rows without codes name no exam.
+    """
+    rates = exam_pass_rate(model)
+    rates = rates.filter(F.col("program_code").isNotNull() & F.col("exam_code").isNotNull())
+    return top_k(rates, ["program_code", "year"], [F.col("ratio"), F.col("exam_code")], k)
+
+
 def hardest_of(rates: DataFrame, k: int = 10) -> DataFrame:
     """All years of the exams found in a program's first k rows by (year, ratio).
 

@@ -24,6 +24,7 @@ OPERATORS: dict[str, tuple[Callable[[Model], DataFrame], bool, bool]] = {
     "session_enrolments": (distribution.session_enrolments, False, False),
     "exam_pass_rate": (pass_rate.exam_pass_rate, False, True),
     "hardest_exams": (pass_rate.hardest_exams, False, True),
+    "hardest_exams_overall": (pass_rate.hardest_exams_overall, False, True),
     "same_day_load": (commitment.same_day_load, False, True),
     "commitment_rate": (commitment.commitment_rate, False, True),
     "exam_mean_grade": (grades.exam_mean_grade, False, True),
@@ -35,6 +36,8 @@ OPERATORS: dict[str, tuple[Callable[[Model], DataFrame], bool, bool]] = {
     "activity_profile": (activity.activity_profile, True, False),
     "fast_furious": (activity.fast_furious, True, False),
     "weighted_fast_furious": (partial(activity.weighted_fast_furious, grade_weight=0.7), True, False),
+    "grade_per_active_day": (activity.grade_per_active_day, True, False),
+    "trial_and_error_by_program": (attempts.trial_and_error_by_program, True, True),
     "trial_and_error": (attempts.trial_and_error, True, True),
     "mean_attempts": (attempts.mean_attempts, True, True),
     "students_in_band_27": (partial(merit.students_in_band, low=27, high=28), True, False),

@@ -185,6 +185,9 @@ FROM rows_ GROUP BY ALL""",
     ),
     "exam_pass_rate": (_RATES, "SELECT * FROM rates"),
     "hardest_exams": (_HARDEST, "SELECT * FROM hardest"),
+    "hardest_exams_overall": (_RATES, """SELECT * FROM rates
+WHERE program_code IS NOT NULL AND exam_code IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY program_code, year ORDER BY ratio, exam_code) <= 10"""),
     "same_day_load": (_LOAD, "SELECT * FROM load"),
     "commitment_rate": (_LOAD, "SELECT * FROM commitment"),
     "exam_mean_grade": (_MEANS, "SELECT * FROM means"),
@@ -196,6 +199,15 @@ FROM rows_ GROUP BY ALL""",
     "activity_profile": (_ACTIVITY, "SELECT * FROM profile"),
     "fast_furious": (_ACTIVITY, "SELECT * FROM scored"),
     "weighted_fast_furious": (_ACTIVITY, "SELECT * FROM scored"),
+    "grade_per_active_day": ("", """SELECT program_code, program, student_id,
+  avg(grade) FILTER (WHERE passed = 1) AS avg_grade,
+  CAST(max(date) - min(date) AS DOUBLE) AS active_days,
+  avg(grade) FILTER (WHERE passed = 1) / nullif(CAST(max(date) - min(date) AS DOUBLE), 0) AS ratio
+FROM rows_ GROUP BY program_code, program, student_id"""),
+    "trial_and_error_by_program": (""", tries AS (
+  SELECT program_code, program, student_id, exam_code, count(*) FILTER (WHERE passed = 0) AS n
+  FROM rows_ GROUP BY program_code, program, student_id, exam_code
+)""", "SELECT program_code, program, avg(n) AS attempts FROM tries GROUP BY program_code, program"),
     "trial_and_error": (_ATTEMPTS, "SELECT * FROM most"),
     "mean_attempts": (_ATTEMPTS, "SELECT * FROM attempts"),
     "students_in_band_27": (_BANDS, "SELECT * FROM b27"),
