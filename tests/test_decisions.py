@@ -253,3 +253,19 @@ def test_program_dimension(spark):
 def test_top_k_of_small_groups(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 9)], "g string, v int")
     assert got(top_k(df, ["g"], [F.desc("v")], 2), "g", "v") == [("a", 2), ("a", 3), ("b", 9)]
+
+
+def test_questions_as_asked(spark):
+    rows = [
+        Row("P", "e1", day(0), 1, 0),
+        Row("P", "e1", day(10), 1, 1, 30),
+        Row("P", "e2", day(4), 1, 1, 20),
+        Row("P", "e2", day(4), 2, 0),
+        Row("P", "e1", day(0, 2019), 2, 1, 24),
+    ]
+    for model in (star_of(spark, rows), wide_of(spark, rows)):
+        hardest = got(pass_rate.hardest_exams_overall(model, 1), "exam_code", "ratio")
+        assert hardest == [("e1", 100.0), ("e1", 50.0)]
+        per_day = got(activity.grade_per_active_day(model), "student_id", "avg_grade", "active_days", "ratio")
+        assert per_day == [(1, 25.0, 10.0, 2.5), (2, 24.0, 361.0, 24.0 / 361.0)]
+        assert got(attempts.trial_and_error_by_program(model), "program_code", "attempts") == [("P", 0.5)]
