@@ -59,3 +59,77 @@ def test_disagreeing_and_null_labels_do_not_count(spark):
     frame = frame.withColumn("lang", F.lit("en"))
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, quality int")
     assert quality.quality_rules(frame, labels).where("kept").count() == 30
+
+
+def plain_level(part, whole, steps):
+    return -(-part * steps // whole) if whole else 0
+
+
+def plain_levels(text):
+    n_words, word_chars, symbols, dup_lines, repeat_words = plain(text)
+    n_lines = sum(1 for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+    return [
+        plain_level(symbols, word_chars, 64), plain_level(dup_lines, n_lines, 64),
+        plain_level(repeat_words, n_words, 64), plain_level(word_chars, n_words, 4),
+    ]
+
+
+def plain_tail(n, k, rate):
+    return sum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k + 1))
+
+
+def base_failed(text):
+    n_words, *_, repeat_words = plain(text)
+    return n_words < 10 or 100 * repeat_words > 20 * n_words
+
+
+def mixed_documents(good_counts, seed):
+    """Rows `doc_id`, `text`, `lang` and their labels; some good documents have symbols, lines and words of bad ones."""
+    rnd, rows, labels = random.Random(seed), [], []
+    for lang, n_good in good_counts.items():
+        for i in range(n_good + n_good // 4):
+            words = [rnd.choice("abcdefgh") * rnd.randint(1, 8) + str(rnd.randint(0, 99)) for _ in range(rnd.randint(8, 24))]
+            odd = rnd.random() < (0.01 if i < n_good else 0.6)
+            if odd and rnd.random() < 0.7:
+                words += ["#" * rnd.randint(1, 9)]
+            text = " ".join(words)
+            if odd and rnd.random() < 0.5:
+                text += "\nx" * rnd.randint(2, 4)
+            rows.append((len(rows), text, lang))
+            labels.append((rows[-1][0], int(i < n_good)))
+    return rows, labels
+
+
+def plain_joint(rows, labels):
+    """The cutoffs of every stratum, each rule of the fixed order tried on the documents themselves."""
+    risk, good = quality.Risk(joint=True), {i for i, q in labels if q}
+    held = {lang: [plain_levels(t) for i, t, x in rows if x == lang and i in good and not base_failed(t)] for lang in {r[2] for r in rows}}
+    found = {}
+    for lang, levels in held.items():
+        top = [max(x[s] for x in levels) for s in range(4)]
+        order = [(s, c) for s in range(4) for c in range(top[s], -1, -1)]
+        for s, c in order:
+            rule = [0] * s + [c] + [math.inf] * (3 - s)
+            k = sum(any(a > b for a, b in zip(x, rule, strict=True)) for x in levels)
+            if plain_tail(len(levels), k, risk.rate) > risk.error / len(held):
+                break
+            found[lang] = rule
+    return found
+
+
+def test_joint_rules_need_fewer_labels(spark):
+    assert (quality.Risk().needed(4), quality.Risk(joint=True).needed(4)) == (1151, 217)
+    rows, labels = mixed_documents({"en": 700, "fr": 300, "de": 120}, 11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    named = spark.createDataFrame(labels, "doc_id long, quality int")
+    plain_cutoffs = plain_joint(rows, labels)
+    assert set(plain_cutoffs) == {"en", "fr"}  # 120 are too few
+    expected = {i for i, t, lang in rows if not base_failed(t) and not any(
+        a > b for a, b in zip(plain_levels(t), plain_cutoffs.get(lang, [math.inf] * 4), strict=True))}
+    found = quality.quality_rules(docs, named, risk=quality.Risk(joint=True))
+    kept = {r["doc_id"] for r in found.where("kept").collect()}
+    assert kept == expected
+    alone = {r["doc_id"] for r in quality.quality_rules(docs, named).where("kept").collect()}
+    assert alone - kept and not kept - alone
+    good = {i for i, q in labels if q}
+    assert len((alone - kept) & good) < 0.02 * len(good)
