@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from examlens.llm import quality
 
 
@@ -75,6 +76,8 @@ def plain_levels(text):
 
 
 def plain_tail(n, k, rate):
+    if k >= n * rate:
+        return 1.0
     return sum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k + 1))
 
 
@@ -90,6 +93,9 @@ def mixed_documents(good_counts, seed):
         for i in range(n_good + n_good // 4):
             words = [rnd.choice("abcdefgh") * rnd.randint(1, 8) + str(rnd.randint(0, 99)) for _ in range(rnd.randint(8, 24))]
             odd = rnd.random() < (0.01 if i < n_good else 0.6)
+            if odd and rnd.random() < 0.3:
+                words += [f"{rnd.choice('abcdefgh')}{j}x" for j in range(rnd.randint(50, 120))]
+                words += words[:5]
             if odd and rnd.random() < 0.7:
                 words += ["#" * rnd.randint(1, 9)]
             text = " ".join(words)
@@ -133,3 +139,41 @@ def test_joint_rules_need_fewer_labels(spark):
     assert alone - kept and not kept - alone
     good = {i for i, q in labels if q}
     assert len((alone - kept) & good) < 0.02 * len(good)
+
+
+def plain_alone(rows, labels):
+    """The cutoff of every stratum and signal, each tried on the documents themselves; inf: none."""
+    risk, good, found = quality.Risk(), {i for i, q in labels if q}, {}
+    strata = {r[2] for r in rows}
+    for lang in strata:
+        levels = [plain_levels(t) for i, t, x in rows if x == lang and i in good and not base_failed(t)]
+        found[lang] = []
+        for s in range(4):
+            safe = [c for c in {x[s] for x in levels} if plain_tail(len(levels), sum(x[s] > c for x in levels), risk.rate / 4) <= risk.error / (4 * len(strata))]
+            found[lang].append(min(safe, default=math.inf))
+    return found
+
+
+def test_cutoffs_and_kept_with_enough_labels(spark, tmp_path):
+    rows, labels = mixed_documents({"en": 2500, "fr": 1300, "de": 40}, 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    named = spark.createDataFrame(labels, "doc_id long, quality int")
+    limits = plain_alone(rows, labels)
+    assert all(c < math.inf for lang in ("en", "fr") for c in limits[lang])
+    assert limits["de"] == [math.inf] * 4 and limits["en"] != limits["fr"]
+
+    columns = [F.col("doc_id").alias("_id"), F.col("lang").alias("stratum")]
+    good_ids = {i for i, q in labels if q and not base_failed(rows[i][1])}
+    good = quality._counted(docs, "text", columns).where(F.col("_id").isin(good_ids))
+    found = {r["stratum"]: list(r)[1:] for r in quality.cutoffs(good, quality.Risk()).collect()}
+    assert found == {lang: limits[lang] for lang in ("en", "fr")}
+
+    above = {i: [a > b for a, b in zip(plain_levels(t), limits[lang], strict=True)] for i, t, lang in rows if not base_failed(t)}
+    expected = {i for i, x in above.items() if not any(x)}
+    assert any(a == b for i in expected for a, b in zip(plain_levels(rows[i][1]), limits[rows[i][2]], strict=True))
+    assert all(any(x[s] for x in above.values()) for s in range(4))  # each signal rejects some
+    assert good_ids - expected  # and some good documents are among them
+    kept = {r["doc_id"] for r in quality.quality_rules(docs, named).where("kept").collect()}
+    assert kept == expected
+    named.write.parquet(str(tmp_path / "labels.parquet"))
+    assert sorted(corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()) == [r for r in rows if r[0] in expected]
