@@ -176,23 +176,20 @@ def cutoffs(good: DataFrame, risk: Risk) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), _level(n).alias("level")) for n in SIGNALS])).alias("x"),
     )
     counted = levels.groupBy("stratum", "x.signal", "x.level").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(counted, "quality_levels")
     group = W.partitionBy("stratum", "signal")
     above = group.orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, -1)
     tried = counted.select(
         "stratum", "signal", "level", F.sum("n").over(group).alias("n"),
         F.coalesce(F.sum("n").over(above), F.lit(0)).alias("rejected"),
     )
-    # One row per stratum and signal is left here; the strata among them share the error.
-    safe = tried.groupBy("stratum", "signal").agg(
-        F.collect_list(F.struct("level", "n", "rejected")).alias("tried")
-    )
-    every = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    safe = safe.withColumn("tests", F.count(F.lit(1)).over(every))
-    safe = safe.select("stratum", "signal", F.explode("tried").alias("t"), "tests").where(
-        binomial_tail(F.col("t.n"), F.col("t.rejected"), risk.rate / len(SIGNALS)) <= F.lit(risk.error) / F.col("tests")
+    # The strata and signals there are share the error; their number is a single row.
+    tests = counted.agg(F.count_distinct("stratum", "signal").alias("tests"))
+    safe = tried.crossJoin(F.broadcast(tests)).where(
+        binomial_tail(F.col("n"), F.col("rejected"), risk.rate / len(SIGNALS)) <= F.lit(risk.error) / F.col("tests")
     )
     return safe.groupBy("stratum").agg(
-        *[F.min(F.when(F.col("signal") == n, F.col("t.level"))).alias(f"c_{n}") for n in SIGNALS]
+        *[F.min(F.when(F.col("signal") == n, F.col("level"))).alias(f"c_{n}") for n in SIGNALS]
     )
 
 

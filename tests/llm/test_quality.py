@@ -177,3 +177,15 @@ def test_cutoffs_and_kept_with_enough_labels(spark, tmp_path):
     assert kept == expected
     named.write.parquet(str(tmp_path / "labels.parquet"))
     assert sorted(corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()) == [r for r in rows if r[0] in expected]
+
+
+def test_strata_do_not_meet_in_one_task(spark):
+    rows = [(f"s{i % 50}", 10, 50, i % 3, 0, 0, 1) for i in range(2000)]
+    good = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    for risk in (quality.Risk(), quality.Risk(joint=True)):
+        plan = quality.cutoffs(good, risk)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if re.search(r"\bWindow \[", line)]
+        assert windows and all(", [stratum#" in line for line in windows)
+        assert "collect_list" not in plan
+    loose = quality.Risk(rate=0.9, error=0.9)  # forty labels a stratum are enough
+    assert quality.cutoffs(good, loose).count() == 50
