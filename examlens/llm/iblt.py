@@ -26,21 +26,32 @@ from .common import batches_by_size, map_batches, shuffle_partitions, strings
 
 CELLS = 24  # of the kept fingerprint
 HASHES = 3
-LINE_CHARS = 256  # longer lines count as several paragraphs
+LINE_CHARS = 256  # a line's paragraph is cut there at the latest
+LINE_WORDS = 10  # and after so many words, so that a short text is several paragraphs
 
 CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
 CHECK_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _runs(line: str) -> list[str]:
+    """The line cut after every LINE_WORDS blanks; joined by blanks they are the line."""
+    words = line.split(" ")
+    return [" ".join(words[at : at + LINE_WORDS]) for at in range(0, len(words), LINE_WORDS)]
+
+
 def paragraphs(text: str) -> np.ndarray:
-    """Digests of the lines with something in them, the n-th copy of a line apart from the first."""
+    """Digests of the lines with something in them, the n-th copy of a line apart from the first.
+
+    Lines count in parts of LINE_WORDS words and at most LINE_CHARS characters.
+    """
     digest, seen, found = xxhash.xxh3_64_intdigest, {}, []
     for line in text.split("\n"):
-        for at in range(0, len(line), LINE_CHARS):
-            part = line[at : at + LINE_CHARS]
-            copy = seen.get(part, 0)
-            seen[part] = copy + 1
-            found.append(digest(part.encode("utf-8", "surrogatepass"), copy))
+        for words in _runs(line):
+            for at in range(0, len(words), LINE_CHARS):
+                part = words[at : at + LINE_CHARS]
+                copy = seen.get(part, 0)
+                seen[part] = copy + 1
+                found.append(digest(part.encode("utf-8", "surrogatepass"), copy))
     return np.array(found, dtype=np.uint64)
 
 

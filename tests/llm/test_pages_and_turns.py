@@ -157,3 +157,13 @@ def test_peeling_recovers_the_differences(n):
     b = np.concatenate((a[: n // 2], rng.integers(0, 1 << 63, n // 2 + 1, dtype=np.uint64)))
     assert iblt.difference(a, b, iblt.sketch(a), iblt.sketch(b)) == (n - n // 2, n // 2 + 1)
     assert (iblt.from_text(iblt.to_text(iblt.sketch(a))) == iblt.sketch(a)).all()
+
+
+def test_a_short_edited_text_is_near_itself(spark):
+    line = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    rows = [(i, line(w)) for i, w in enumerate("abc")]
+    assert all(len(t) < 512 for _, t in rows)
+    found = iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # The first half is equal: two whole parts of ten words at least.
+    assert all(r["near_edited"] > r["near_next"] == 0 for r in found)
+    assert len(iblt.paragraphs("a b\n\nc")) == 2 and len(iblt.paragraphs("x" * 257)) == 2
