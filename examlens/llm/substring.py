@@ -284,14 +284,15 @@ def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFr
     anchors = _anchors(docs, length)
     group = [F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("none")]
     shared = anchors.groupBy("h").agg(*group).where(_shared()).select("h")
+    # Sets: equal rows share a name and must not get the places of each of them.
     met = anchors.join(shared.hint("shuffle_hash"), "h")
-    places = met.groupBy("id", "tag").agg(F.collect_list("at").alias("places"))
+    places = met.groupBy("id", "tag").agg(F.collect_set("at").alias("places"))
     texts = _small(docs)
     windows = _windows(_join(texts, _join(places, copies, "left_anti"), "inner"), length)
     same = W.partitionBy("h1", "h2").orderBy(F.asc_nulls_last("id"))
     taken = windows.withColumn("first", F.first("id").over(same.rowsBetween(W.unboundedPreceding, W.currentRow)))
     gone = taken.where(F.col("sure").isNotNull() | _later(F.col("first"))).groupBy("id", "tag")
-    starts = F.concat(F.collect_set("at"), F.flatten(F.collect_list("sure"))).alias("places")
+    starts = F.array_union(F.collect_set("at"), F.flatten(F.collect_set("sure"))).alias("places")
     lost = _cut(_join(texts, gone.agg(starts), "inner"), length)
     return facts, copies, lost
 

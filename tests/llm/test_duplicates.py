@@ -129,3 +129,18 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 5, 9]
     assert simhash.one_per_group(frame.limit(0)).collect() == []
     assert simhash.simhash_groups(frame.limit(0)).collect() == []
+
+
+def test_equal_rows_do_not_add_up_their_places(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w)) for i, w in ((1, words), (2, words[:90] + ["x"]), (None, ["y"] + words[20:])) for _ in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = []
+    for name in ("_windows", "_cut"):
+        def seen(given, length, run=getattr(substring, name)):
+            sizes.append(given.agg(F.max(F.size("places"))).first()[0])
+            return run(given, length)
+        monkeypatch.setattr(substring, name, seen)
+    found = substring.substring_dedup(frame).collect()
+    assert order(map(tuple, found)) == order(plain_repeats(rows))
+    assert len(sizes) == 2 and 0 < max(sizes) <= len(words)
