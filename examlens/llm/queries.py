@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, iblt, packing, quality, simhash, substring, token_counts, urls, warc
+from . import alignment, bpe, chat, iblt, packing, quality, simhash, substring, token_counts, urls, warc
 from .common import read_table
 
 MAX_TOKENS = 512
@@ -86,6 +86,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc32(pieces)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.align_tokenizers(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def queries() -> dict[str, Query]:
     operators = (
         op1_token_counts,
@@ -98,5 +105,6 @@ def queries() -> dict[str, Query]:
         op8_fingerprints,
         op9_quality_rules,
         op10_packing,
+        op12_alignment,
     )
     return {f.__name__: f for f in operators}
