@@ -147,10 +147,11 @@ class Aligner:
         known = self.known
         new = list({t for t in texts if t not in known})
         made = dict(zip(new, self._new(new), strict=True))
+        found = [made[t] if t in made else known[t] for t in texts]
         if len(known) + len(made) > CACHED_PIECES:
             known.clear()
         known.update((t, x) for t, x in made.items() if len(t) <= CACHED_CHARS)
-        return [made[t] if t in made else known[t] for t in texts]
+        return found
 
     def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Different pieces, the pieces of the texts by their places in them, and the bounds of each text.

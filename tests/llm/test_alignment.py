@@ -91,6 +91,7 @@ def test_common_ends_by_galloping(seed):
 @pytest.mark.parametrize("block", [50, 1 << 20])
 def test_mixed_texts(spark, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
+    monkeypatch.setattr(alignment, "CACHED_PIECES", block)
     rows = [(i // 2 if i % 7 else None, t) for i, t in enumerate(mixed(250))]
     rows += [(5000 + i, " the word is the same") for i in range(40)] + rows[:9]
     rows.append((9000, "long " * 30000 + "x" * 5000 + "  end"))
@@ -99,6 +100,13 @@ def test_mixed_texts(spark, monkeypatch, block):
     assert order(map(tuple, found.select(COLUMNS).collect())) == order(plain(rows))
 
 
+def test_a_full_cache_is_emptied(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHED_PIECES", 3)
+    made = alignment.Aligner(A, B)
+    for texts in (["a", "b"], ["b", "c", "d"], ["a", "d", "x" * 300], ["x" * 300, "a"]):
+        assert [x.n_a for x in made(texts)] == [x.n_a for x in alignment.Aligner(A, B)(texts)]
+
+
 def test_no_texts(spark):
     assert alignment.align_tokenizers(table(spark, [(1, "a")]).limit(0), A, B).collect() == []
     found = alignment.align_tokenizers(table(spark, [(1, None), (1, ""), (2, "▁")]), A, B).collect()
