@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, iblt, packing, quality, simhash, substring, token_counts, urls, warc
+from . import alignment, bpe, chat, iblt, packing, pq, quality, simhash, substring, token_counts, urls, warc, whitening
 from .common import read_table
 
 MAX_TOKENS = 512
@@ -86,6 +86,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc32(pieces)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return alignment.align_tokenizers(
@@ -93,6 +97,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def queries() -> dict[str, Query]:
     operators = (
         op1_token_counts,
@@ -105,6 +113,8 @@ def queries() -> dict[str, Query]:
         op8_fingerprints,
         op9_quality_rules,
         op10_packing,
+        op11_whitening,
         op12_alignment,
+        op13_embedding_dedup,
     )
     return {f.__name__: f for f in operators}
