@@ -10,12 +10,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-from array import array
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +28,12 @@ from .tokenizing import UNSURE
 
 # Texts of one block share the list of their different id pairs; a block has at most so many bytes, or one text.
 BLOCK_BYTES = 4 << 20
-# A process keeps the alignment of so many different pieces of at most so many characters.
-CACHED_PIECES, CACHED_CHARS = 400_000, 200
+# A process forgets its different pieces once it has more of them, or more ids in them.
+CACHED_PIECES, CACHED_WORDS = 500_000, 8_000_000
+# Ids that are spelt at a time.
+WORDS_AT_ONCE = 1 << 20
+# Lists and groups beyond this are worked on one by one.
+LONG = 256
 
 BLANK = "▁"  # fixed value: how pieces write a blank
 
@@ -56,40 +56,116 @@ def common_ends(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return found
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """The tokens of a piece of text; none of them where the two do not spell it alike."""
+def common_ends_of_all(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`common_ends` of many pairs of lists at once, as places in the lists laid end to end.
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    pairs: bytes  # different id pairs, a above b, as longs
-    times: bytes  # how many links each of them has, as longs
+    List k is a[a_starts[k]:a_starts[k + 1]] and the same of `b`. All pairs gallop in step,
+    one element of their shorter list after the other; long lists go by themselves.
+    """
+    sizes = np.stack([np.diff(a_starts), np.diff(b_starts)])
+    swap = sizes[0] > sizes[1]
+    left, right = [], []
+    both = np.concatenate([a, b])
+    starts = np.stack([a_starts[:-1], b_starts[:-1] + len(a)])
+    k = np.arange(len(swap))
+    at, size = starts[swap.astype(int), k], sizes[swap.astype(int), k]  # of the shorter list
+    low, high = starts[1 - swap.astype(int), k], (starts + sizes)[1 - swap.astype(int), k]
+    for lane in np.flatnonzero(size > LONG):
+        found = common_ends(a[a_starts[lane] : a_starts[lane + 1]].tolist(), b[b_starts[lane] : b_starts[lane + 1]].tolist())
+        i, j = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        left.append(i + a_starts[lane])
+        right.append(j + b_starts[lane])
+    active = np.flatnonzero((size > 0) & (size <= LONG) & (low < high))
+    stop = at + size
+    while len(active):
+        target, probe, step = both[at[active]], low[active], 1
+        end, start = high[active], low[active].copy()
+        going = np.arange(len(active))
+        while len(going):  # exponential search
+            going = going[(probe[going] < end[going])]
+            going = going[both[probe[going]] < target[going]]
+            start[going] = probe[going] + 1
+            probe[going] += step
+            step *= 2
+        probe = np.minimum(probe, end)
+        while (wide := np.flatnonzero(start < probe)).size:  # binary search
+            middle = (start[wide] + probe[wide]) // 2
+            less = both[middle] < target[wide]
+            start[wide] = np.where(less, middle + 1, start[wide])
+            probe[wide] = np.where(less, probe[wide], middle)
+        inside = start < end
+        hit = np.flatnonzero(inside)[both[start[inside]] == target[inside]]
+        one, other = at[active[hit]], start[hit]
+        turned = swap[active[hit]]
+        left.append(np.where(turned, other, one))
+        right.append(np.where(turned, one, other) - len(a))
+        start[hit] += 1
+        low[active] = start
+        at[active] += 1
+        active = active[(at[active] < stop[active]) & (start < end)]
+    i = np.concatenate([np.zeros(0, np.int64), *left])
+    order = np.argsort(i, kind="stable")
+    return i[order], np.concatenate([np.zeros(0, np.int64), *right])[order]
+
+
+class Pieces:
+    """The alignment of pieces of text: numbers of each, and runs of spelt ids and of pairs.
+
+    `words` has a number for every id with the mark behind it, in the order in which the
+    groups are spelt, `pairs` the id pairs that are linked and `times` how often. Both
+    lie end to end, with the bounds of each piece.
+    """
+
+    def __init__(self, facts: np.ndarray, words: np.ndarray, word_bounds: np.ndarray, pairs: np.ndarray, times: np.ndarray, pair_bounds: np.ndarray):
+        self.facts, self.words, self.word_bounds = facts, words, word_bounds
+        self.pairs, self.times, self.pair_bounds = pairs, times, pair_bounds
+
+
+COMMA, BAR, SEMICOLON = range(3)
+MARKS = (",", "|", ";")
 
 
-def align(a: Sequence[int], a_ends: Sequence[int], b: Sequence[int], b_ends: Sequence[int]) -> Aligned:
-    """Group the ids by common ends.
+def align(a: np.ndarray, a_ends: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_ends: np.ndarray, b_starts: np.ndarray, size_a: int) -> Pieces:
+    """Group the ids of every piece by common ends (which the last tokens always have).
 
     Within a group every token of one side overlaps the rank range of the other, so the
-    links of two ids are the product of their numbers: no link is listed by itself.
+    links of two ids are the product of their numbers; those of large groups are counted
+    by id and not listed one by one.
     """
-    groups, links, total, i, j = [], Counter(), 0, 0, 0
-    for p, q in common_ends(a_ends, b_ends):
-        left, right = a[i : p + 1], b[j : q + 1]
-        groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-        total += len(left) * len(right)
-        if len(left) == len(right) == 1:
-            links[left[0] << 32 | right[0]] += 1
-        else:
-            many = Counter(right).items()
-            for x, n in Counter(left).items():
-                for y, m in many:
-                    links[x << 32 | y] += n * m
-        i, j = p + 1, q + 1
-    pairs, times = array("q", links.keys()), array("q", links.values())
-    return Aligned(len(a), len(b), len(groups), total, ";".join(groups), pairs.tobytes(), times.tobytes())
+    i, j = common_ends_of_all(a_ends, a_starts, b_ends, b_starts)
+    first_a, first_b = (np.concatenate(([0], x[:-1] + 1)) if len(x) else x for x in (i, j))
+    n, m = i - first_a + 1, j - first_b + 1
+    piece = np.searchsorted(a_starts, i, side="right") - 1
+    count = len(a_starts) - 1
+    facts = np.zeros((4, count), dtype=np.int64)
+    facts[0], facts[1] = np.diff(a_starts), np.diff(b_starts)
+    facts[2] = np.bincount(piece, minlength=count)
+    np.add.at(facts[3], piece, n * m)
+    # Spelling: the group's ids of the one side, then of the other.
+    shift = np.cumsum(n + m) - (n + m)
+    words = np.empty(len(a) + len(b), dtype=np.int64)
+    place_a, place_b = ragged(shift, n), ragged(shift + n, m)
+    words[place_a], words[place_b] = 3 * a + COMMA, 3 * (b + size_a) + COMMA
+    words[shift + n - 1] += BAR - COMMA
+    words[shift + n + m - 1] += SEMICOLON - COMMA
+    bounds = np.concatenate(([0], np.cumsum(facts[0] + facts[1])))
+    # Links: token by token in small groups, by different ids in large ones.
+    small = n * m <= LONG
+    of_a = np.repeat(ragged(first_a[small], n[small]), np.repeat(m[small], n[small]))
+    of_b = ragged(np.repeat(first_b[small], n[small]), np.repeat(m[small], n[small]))
+    owner = np.repeat(piece[small], n[small] * m[small])
+    pairs, times = [a[of_a] << 32 | b[of_b]], [np.ones(len(of_a), dtype=np.int64)]
+    owners = [owner]
+    for g in np.flatnonzero(~small):
+        x, n_x = np.unique(a[first_a[g] : i[g] + 1], return_counts=True)
+        y, n_y = np.unique(b[first_b[g] : j[g] + 1], return_counts=True)
+        pairs.append((x[:, None] << 32 | y).ravel())
+        times.append((n_x[:, None] * n_y).ravel())
+        owners.append(np.full(len(x) * len(y), piece[g]))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    pair_bounds = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=count))))
+    return Pieces(facts, words, bounds, np.concatenate(pairs)[order], np.concatenate(times)[order], pair_bounds)
 
 
 @functools.lru_cache(maxsize=2)
@@ -120,38 +196,98 @@ def _pieces(path: str) -> tuple[object, list[bytes], bool]:
     return model, plain, not any(BLANK in s.lstrip(BLANK) for s in spelled)
 
 
+class _Table:
+    """The bytes of all tokens end to end, where each starts and how long it is."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def spelt(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[ragged(self.starts[ids], self.lengths[ids])]
+
+
+class _Growing:
+    """Numbers that are appended to, without a copy of all each time."""
+
+    def __init__(self):
+        self.size, self.held = 0, np.empty(1 << 16, dtype=np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.held):
+            grown = np.empty(2 * (self.size + len(values)), dtype=np.int64)
+            grown[: self.size] = self.held[: self.size]
+            self.held = grown
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
 class Aligner:
     """The alignment of pieces of text that begin with a blank, each different one once."""
 
     def __init__(self, byte_level_file: str, piece_file: str):
-        self.a, self.a_bytes = _byte_level(byte_level_file)
-        self.b, self.b_bytes, self.cuts = _pieces(piece_file)
-        self.known: dict[str, Aligned | None] = {}
-
-    def _new(self, texts: list[str]) -> list[Aligned | None]:
-        """None where the tokens of one side do not spell the text."""
-        left = self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)
-        right = self.b.encode(texts, num_threads=1)
-        found = []
-        for text, encoding, b in zip(texts, left, right, strict=True):
-            a, plain = encoding.ids, f" {text}".encode()
-            of_a, of_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(of_a) == plain == b"".join(of_b):
-                ends = [list(accumulate(map(len, x))) for x in (of_a, of_b)]
-                found.append(align(a, ends[0], b, ends[1]))
-            else:
-                found.append(None)
-        return found
-
-    def __call__(self, texts: list[str]) -> list[Aligned | None]:
-        known = self.known
-        new = list({t for t in texts if t not in known})
-        made = dict(zip(new, self._new(new), strict=True))
-        found = [made[t] if t in made else known[t] for t in texts]
-        if len(known) + len(made) > CACHED_PIECES:
-            known.clear()
-        known.update((t, x) for t, x in made.items() if len(t) <= CACHED_CHARS)
-        return found
+        self.a, a_bytes = _byte_level(byte_level_file)
+        self.b, b_bytes, self.cuts = _pieces(piece_file)
+        self.sides = _Table(a_bytes), _Table(b_bytes)
+        self.spelling = pa.array([f"{i}{mark}" for n in (len(a_bytes), len(b_bytes)) for i in range(n) for mark in MARKS])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.facts = [_Growing() for _ in range(5)]  # four of Pieces, and whether both sides spell the piece
+        self.words, self.word_bounds = _Growing(), _Growing()
+        self.pairs, self.times, self.pair_bounds = _Growing(), _Growing(), _Growing()
+        for bounds in (self.word_bounds, self.pair_bounds):
+            bounds.add(np.zeros(1, dtype=np.int64))
+
+    def _learn(self, texts: list[str]) -> None:
+        """Encode and align new pieces, all at once."""
+        plain = [f" {t}" for t in texts]
+        encoded = self.a.encode_batch_fast(plain, add_special_tokens=False), self.b.encode(texts, num_threads=1)
+        ids = [[e.ids for e in encoded[0]], encoded[1]]
+        data = [p.encode() for p in plain]
+        lengths = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        spelt = np.ones(len(texts), dtype=bool)
+        sides = []
+        for of, table in zip(ids, self.sides, strict=True):
+            sizes = np.fromiter(map(len, of), dtype=np.int64, count=len(of))
+            flat = np.fromiter((i for x in of for i in x), dtype=np.int64, count=int(sizes.sum()))
+            owner = np.repeat(np.arange(len(of)), sizes)
+            wide = np.bincount(owner, weights=table.lengths[flat], minlength=len(of)).astype(np.int64)
+            spelt &= wide == lengths
+            sides.append((flat, sizes, owner))
+        # Token by token the bytes have to be those of the text, where their number is.
+        raw = np.frombuffer(b"".join(data), dtype=np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        whole = spelt.copy()
+        kept = np.flatnonzero(whole)
+        expected = raw[ragged(starts[kept], lengths[kept])]
+        piece = np.repeat(kept, lengths[kept])
+        for (flat, _, owner), table in zip(sides, self.sides, strict=True):
+            spelt[piece[table.spelt(flat[whole[owner]]) != expected]] = False
+        runs = []
+        for (flat, sizes, owner), table in zip(sides, self.sides, strict=True):
+            flat, sizes = flat[spelt[owner]], np.where(spelt, sizes, 0)
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            runs += [flat, np.cumsum(table.lengths[flat]), bounds]
+        made = align(*runs, len(self.sides[0].lengths))
+        for growing, values in zip(self.facts, [*made.facts, spelt.astype(np.int64)], strict=True):
+            growing.add(values)
+        self.word_bounds.add(made.word_bounds[1:] + self.words.size)
+        self.pair_bounds.add(made.pair_bounds[1:] + self.pairs.size)
+        self.words.add(made.words)
+        self.pairs.add(made.pairs)
+        self.times.add(made.times)
+        first = len(self.known)
+        self.known.update(zip(texts, range(first, first + len(texts)), strict=True))
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """The numbers of the pieces; they hold until the next call."""
+        if len(self.known) > CACHED_PIECES or self.words.size > CACHED_WORDS:
+            self._forget()
+        self._learn(list(dict.fromkeys(t for t in texts if t not in self.known)))
+        return np.fromiter(map(self.known.__getitem__, texts), dtype=np.int64, count=len(texts))
 
     def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Different pieces, the pieces of the texts by their places in them, and the bounds of each text.
@@ -192,6 +328,24 @@ def aligner(byte_level_file: str, piece_file: str) -> Aligner:
     return Aligner(byte_level_file, piece_file)
 
 
+def _digests(made: Aligner, taken: np.ndarray, bounds: np.ndarray, spelled: np.ndarray) -> list[str]:
+    """The digest of every text's groups; its pieces' spellings follow each other."""
+    found, at = [], 0
+    begins, sizes = made.word_bounds.held[taken], np.diff(made.word_bounds.held[: made.word_bounds.size])[taken]
+    ends = np.cumsum(sizes)
+    while at < len(spelled):  # some texts at a time
+        before = ends[bounds[at] - 1] if bounds[at] else 0
+        stop = max(at + 1, int(np.searchsorted(ends[bounds[1:] - 1], before + WORDS_AT_ONCE, side="right")))
+        part = slice(bounds[at], bounds[stop])
+        words = made.spelling.take(pa.array(made.words.held[ragged(begins[part], sizes[part])]))
+        offsets, data = np.frombuffer(words.buffers()[1], dtype=np.int32), memoryview(words.buffers()[2] or b"")
+        cuts = offsets[np.concatenate(([before], ends[bounds[at + 1 : stop + 1] - 1])) - before]
+        for good, x, y in zip(spelled[at:stop].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            found.append(hashlib.sha256(data[x : y - 1]).hexdigest() if good else "")  # without the last semicolon
+        at = stop
+    return found
+
+
 FACTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -221,32 +375,20 @@ def _blocks(docs: DataFrame, byte_level_file: str, piece_file: str) -> DataFrame
         made = aligner(byte_level_file, piece_file)
         rows = len(texts)
         units, taken, bounds = made.units(texts)
-        found = made(units)
-        right = np.array([x is not None for x in found], dtype=bool)
-        spelled = np.add.reduceat(~right[taken], bounds[:-1]) == 0
+        taken = made(units)[taken]
+        spelled = np.add.reduceat(1 - made.facts[4].held[taken], bounds[:-1]) == 0
         spelled &= byte_lengths(texts) > 0
-        facts = []
-        for fact in FACTS:
-            each = np.array([getattr(x, fact) if x else 0 for x in found], dtype=np.int64)
-            facts.append(np.where(spelled, np.add.reduceat(each[taken], bounds[:-1]), 0))
-        groups = [x.groups if x else "" for x in found]
-        codes = taken.tolist()
-        digests = [
-            hashlib.sha256(";".join([groups[c] for c in codes[x:y]]).encode()).hexdigest() if good else ""
-            for good, x, y in zip(spelled.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-        ]
-        flat = np.frombuffer(b"".join(x.pairs for x in found if x), dtype=np.int64)
-        times = np.frombuffer(b"".join(x.times for x in found if x), dtype=np.int64)
-        sizes = np.array([len(x.pairs) // 8 if x else 0 for x in found], dtype=np.int64)
-        pairs, code = np.unique(flat, return_inverse=True)
-        begins = np.cumsum(sizes) - sizes
+        facts = [np.where(spelled, np.add.reduceat(f.held[taken], bounds[:-1]), 0) for f in made.facts[:4]]
+        digests = _digests(made, taken, bounds, spelled)
         # The pairs of every text, each once, with the sum of its links.
-        many = sizes[taken] * np.repeat(spelled, np.diff(bounds))
-        places = ragged(begins[taken], many)
-        row = np.repeat(np.repeat(np.arange(rows), np.diff(bounds)), many)
-        keys, inverse = np.unique(row * max(1, len(pairs)) + code[places], return_inverse=True)
+        begins, sizes = made.pair_bounds.held[taken], np.diff(made.pair_bounds.held[: made.pair_bounds.size])[taken]
+        sizes = sizes * np.repeat(spelled, np.diff(bounds))
+        places = ragged(begins, sizes)
+        row = np.repeat(np.repeat(np.arange(rows), np.diff(bounds)), sizes)
+        pairs, code = np.unique(made.pairs.held[places], return_inverse=True)
+        keys, inverse = np.unique(row * max(1, len(pairs)) + code, return_inverse=True)
         summed = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(summed, inverse, times[places])
+        np.add.at(summed, inverse, made.times.held[places])
         at = keys % max(1, len(pairs))
         held = np.bincount(at, minlength=len(pairs))
         n_pairs = np.bincount(keys // max(1, len(pairs)), minlength=rows)

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -88,6 +89,18 @@ def test_common_ends_by_galloping(seed):
         assert alignment.common_ends(a, b) == [(a.index(x), b.index(x)) for x in sorted(set(a) & set(b))]
 
 
+@pytest.mark.parametrize("long", [0, 10, 256])
+def test_many_lists_gallop_in_step(monkeypatch, long):
+    monkeypatch.setattr(alignment, "LONG", long)
+    rnd = random.Random(long)
+    lists = [tuple(sorted(rnd.sample(range(60), rnd.choice([0, 1, 2, 5, 30]))) for _ in range(2)) for _ in range(200)]
+    a, b = (np.array([x for pair in lists for x in pair[side]], dtype=np.int64) for side in (0, 1))
+    starts = [np.cumsum([0, *(len(pair[side]) for pair in lists)]) for side in (0, 1)]
+    i, j = alignment.common_ends_of_all(a, starts[0], b, starts[1])
+    plain = [(p + starts[0][k], q + starts[1][k]) for k, pair in enumerate(lists) for p, q in alignment.common_ends(*pair)]
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == plain
+
+
 @pytest.mark.parametrize("block", [50, 1 << 20])
 def test_mixed_texts(spark, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
@@ -104,7 +117,8 @@ def test_a_full_cache_is_emptied(monkeypatch):
     monkeypatch.setattr(alignment, "CACHED_PIECES", 3)
     made = alignment.Aligner(A, B)
     for texts in (["a", "b"], ["b", "c", "d"], ["a", "d", "x" * 300], ["x" * 300, "a"]):
-        assert [x.n_a for x in made(texts)] == [x.n_a for x in alignment.Aligner(A, B)(texts)]
+        fresh = alignment.Aligner(A, B)
+        assert [f.held[made(texts)].tolist() for f in made.facts] == [f.held[fresh(texts)].tolist() for f in fresh.facts]
 
 
 def test_no_texts(spark):
