@@ -13,7 +13,12 @@ def mean_attempts(model: Model) -> DataFrame:
     """
     keys = model.keys("exam", "program")
     failed = model.rows().filter(F.col("passed") == 0)
-    per_student = failed.groupBy("student_id", *keys).agg(F.count(F.lit(1)).alias("_failed"))
+    return attempts_of(model, failed.groupBy("student_id", *keys).agg(F.count(F.lit(1)).alias("_failed")))
+
+
+def attempts_of(model: Model, per_student: DataFrame) -> DataFrame:
+    """The means from `_failed` per student, exam and program."""
+    keys = model.keys("exam", "program")
     per_program = per_student.groupBy(*keys).agg(
         F.sum("_failed").alias("_failed"), F.count(F.lit(1)).alias("_students")
     )
@@ -41,4 +46,8 @@ def trial_and_error_by_program(model: Model) -> DataFrame:
 
 def trial_and_error(model: Model, k: int = 3) -> DataFrame:
     """The k exams with the most attempts; equal ones by exam code."""
-    return mean_attempts(model).orderBy(F.desc("attempts"), F.asc("exam_code")).limit(k)
+    return most_attempts(mean_attempts(model), k)
+
+
+def most_attempts(means: DataFrame, k: int = 3) -> DataFrame:
+    return means.orderBy(F.desc("attempts"), F.asc("exam_code")).limit(k)

@@ -22,10 +22,14 @@ def commitment_rate(model: Model) -> DataFrame:
 
     `sum_commit` and the rate are NULL for programs without such a day.
     """
+    return rates_of(model, _daily(model))
+
+
+def rates_of(model: Model, daily: DataFrame) -> DataFrame:
+    """The rates from `n_exams` per program and date."""
     shared = F.when(F.col("n_exams") > 1, F.col("n_exams"))
     sums = (
-        _daily(model)
-        .groupBy(*model.keys("program"))
+        daily.groupBy(*model.keys("program"))
         .agg(F.sum(shared).alias("sum_commit"), F.sum("n_exams").alias("sum_all"))
     )
     return model.label(sums, "program").select(

@@ -21,6 +21,11 @@ def exam_mean_grade(model: Model) -> DataFrame:
         _grades=F.col("grade"),
         _n=F.col("grade").isNotNull().cast("int"),
     )
+    return means_of(model, sums)
+
+
+def means_of(model: Model, sums: DataFrame) -> DataFrame:
+    """The means from `_grades` and `_n` per program and exam."""
     return model.label(sums, "program", "exam").select(
         "program_code",
         "program",
@@ -30,18 +35,24 @@ def exam_mean_grade(model: Model) -> DataFrame:
     )
 
 
-def _ranked(model: Model) -> DataFrame:
+def _ranked(means: DataFrame) -> DataFrame:
     """Means that can be placed: there is one, and program and exam are known."""
-    return exam_mean_grade(model).dropna(subset=["program_code", "exam_code", "mean_grade"])
+    return means.dropna(subset=["program_code", "exam_code", "mean_grade"])
 
 
 def best_exams(model: Model, k: int = 3) -> DataFrame:
     """Exams with the highest means per program; equal means by exam code."""
-    order = [F.desc("mean_grade"), F.asc("exam_code")]
-    return top_k(_ranked(model), ["program_code"], order, k)
+    return best_of(exam_mean_grade(model), k)
+
+
+def best_of(means: DataFrame, k: int = 3) -> DataFrame:
+    return top_k(_ranked(means), ["program_code"], [F.desc("mean_grade"), F.asc("exam_code")], k)
 
 
 def worst_exams(model: Model, k: int = 3) -> DataFrame:
     """Exams with the lowest means per program; equal means by exam code."""
-    order = [F.asc("mean_grade"), F.asc("exam_code")]
-    return top_k(_ranked(model), ["program_code"], order, k)
+    return worst_of(exam_mean_grade(model), k)
+
+
+def worst_of(means: DataFrame, k: int = 3) -> DataFrame:
+    return top_k(_ranked(means), ["program_code"], [F.asc("mean_grade"), F.asc("exam_code")], k)

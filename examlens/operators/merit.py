@@ -18,18 +18,19 @@ def _inside(low: float, high: float | None) -> Column:
 
 
 def _student_means(model: Model) -> DataFrame:
-    graded = model.rows().filter(F.col("grade").isNotNull())
-    return graded.groupBy("student_id", *model.keys("program")).agg(F.avg("grade").alias("mean_grade"))
+    return model.per_student(
+        lambda m: m.rows().filter(F.col("grade").isNotNull()), F.avg("grade").alias("mean_grade")
+    )
 
 
 def students_in_band(model: Model, low: float, high: float | None = None) -> DataFrame:
     """Students per program whose mean grade is in [low, high)."""
-    counts = (
-        _student_means(model)
-        .filter(_inside(low, high))
-        .groupBy(*model.keys("program"))
-        .agg(F.count("mean_grade").alias("n"))
-    )
+    return band_of(model, _student_means(model), low, high)
+
+
+def band_of(model: Model, means: DataFrame, low: float, high: float | None = None) -> DataFrame:
+    """The band from `mean_grade` per student and program."""
+    counts = means.filter(_inside(low, high)).groupBy(*model.keys("program")).agg(F.count("mean_grade").alias("n"))
     return model.label(counts, "program").select("program_code", "program", "n")
 
 
@@ -87,3 +88,21 @@ def merit_credits(model: Model) -> DataFrame:
 def merit_credits_full(model: Model) -> DataFrame:
     """Credits with every program that has students in any band, missing bands as 0."""
     return band_counts(model).select("*", _credits())
+
+
+def merge_bands(n27: DataFrame, n28: DataFrame) -> DataFrame:
+    """`bands_27_28` from the two bands' tables: their full outer join by program, merged by position."""
+    other = n28.select("program_code", F.col("program").alias("_program"), F.col("n").alias("_n28"))
+    both = n27.withColumnRenamed("n", "_n27").join(other, "program_code", "full_outer")
+    return both.select(
+        "program_code",
+        F.coalesce("program", "_program").alias("program"),
+        F.coalesce("_n27", "_n28").alias("n27"),
+        F.when(F.col("_n27").isNotNull(), F.col("_n28")).alias("n28"),
+    )
+
+
+def credits_of(merged: DataFrame, n29: DataFrame, how: str) -> DataFrame:
+    """`merit_credits` from the merged bands and the highest one; `how` is the model's final join."""
+    top = n29.select("program_code", F.col("n").alias("n29"))
+    return merged.join(top, "program_code", how).select("program_code", "program", *BANDS, _credits())

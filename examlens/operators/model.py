@@ -7,6 +7,7 @@ below; the few places where the two models answer differently are attributes her
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,10 @@ class StarModel:
         rows = self.enrolment.join(sessions, "session_id")
         return rows.withColumn("grade", F.when(F.col("_listed"), F.col("grade"))).drop("_listed")
 
+    def per_student(self, rows: Callable[[Model], DataFrame], *measures: Column) -> DataFrame:
+        """Aggregates of the model's `rows` per student and program."""
+        return rows(self).groupBy("student_id", *self.keys("program")).agg(*measures)
+
     def totals(self, keys: list[str], where: Column | None = None, **measures: Column) -> DataFrame:
         """Sums of row measures per group of session attributes (`year` included).
 
@@ -125,6 +130,9 @@ class WideModel:
     def rows(self) -> DataFrame:
         return self.enrolment.withColumn("session_day", self.date())
 
+    def per_student(self, rows: Callable[[Model], DataFrame], *measures: Column) -> DataFrame:
+        return rows(self).groupBy("student_id", *self.keys("program")).agg(*measures)
+
     def totals(self, keys: list[str], where: Column | None = None, **measures: Column) -> DataFrame:
         rows = self.enrolment if where is None else self.enrolment.filter(where)
         return rows.withColumn("year", self.year()).groupBy(*keys).agg(*_sums(measures))

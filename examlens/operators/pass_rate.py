@@ -9,11 +9,18 @@ from .model import Model
 
 def exam_pass_rate(model: Model) -> DataFrame:
     """Enrolled, passed and percentage passed per exam, calendar year and program."""
-    counts = model.totals(
-        [*model.keys("program", "exam"), "year"],
-        n_passed=F.when(F.col("passed") == 1, 1).otherwise(0),
-        n_enrolled=F.lit(1),
+    return rates_of(
+        model,
+        model.totals(
+            [*model.keys("program", "exam"), "year"],
+            n_passed=F.when(F.col("passed") == 1, 1).otherwise(0),
+            n_enrolled=F.lit(1),
+        ),
     )
+
+
+def rates_of(model: Model, counts: DataFrame) -> DataFrame:
+    """The rates from `n_passed` and `n_enrolled` per exam, year and program."""
     return model.label(counts, "program", "exam").select(
         "program_code",
         "program",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import partial
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,10 +15,12 @@ from ..functions.text import short_label
 from ..operators import activity, attempts, commitment, dashboard, distribution, grades, merit, pass_rate
 from ..operators.model import Model
 from ..session import scratch_path
-from ..sources import csv, dimension, orders, tables, views
+from ..sources import csv, dimension, layout, orders, tables, views
+from . import refresh
 from .reports import REPORTS, choose_programs
 
 Query = Callable[[SparkSession, str], DataFrame]
+Stored = TypeVar("Stored", Model, DataFrame)
 
 # name: (operator, reads the student, reads the exam)
 OPERATORS: dict[str, tuple[Callable[[Model], DataFrame], bool, bool]] = {
@@ -107,13 +110,32 @@ def _session_dates_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session_dates(orders.wide(spark, sf_dir, student=False, exam=False))
 
 
+# The derived tables of an input are stored once an application and serve all queries on it.
+_refreshed: dict[tuple[str, str, str], refresh.DerivedSet] = {}
+
+
+def _derived(spark: SparkSession, sf_dir: str, kind: str = "star") -> refresh.DerivedSet:
+    key = spark.sparkContext.applicationId, sf_dir, kind
+    if key not in _refreshed:
+        model = orders.star(spark, sf_dir) if kind == "star" else orders.wide(spark, sf_dir)
+        _refreshed[key] = refresh.refresh(model)
+    return _refreshed[key]
+
+
+def _derived_table(name: str, kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, kind).table(name)
+
+
+def _derived_answer(name: str, kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.ANSWERS[name](_derived(spark, sf_dir, kind))
+
+
 def _csv_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report written as CSV and read back."""
-    operator, student, _ = OPERATORS[name]
-    model = orders.star(spark, sf_dir, student=student)
+    """A report from the derived tables, written as CSV and read back."""
+    answer = _derived_answer(name, "star", spark, sf_dir)
     path = scratch_path(spark, name)
-    REPORTS[name].write(model, path)
-    return csv.read_csv(spark, path, operator(model).schema)
+    REPORTS[name].write(answer, path)
+    return csv.read_csv(spark, path, answer.schema)
 
 
 def _stored_star(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +152,46 @@ def _stored_wide(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return OPERATORS[name][0](tables.read_wide(spark, path))
 
 
+def _laid_out(spark: SparkSession, sf_dir: str, how: str, store: Callable[[], Stored]) -> Stored:
+    """A stored layout of an input, once an application."""
+    key = spark.sparkContext.applicationId, sf_dir, how
+    if key not in _stored:
+        _stored[key] = store()
+    return _stored[key]
+
+
+_stored: dict[tuple[str, str, str], Model | DataFrame] = {}
+
+
+def _bucketed(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator on the star tables stored in buckets."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = lambda: layout.store_bucketed(orders.star(spark, sf_dir), buckets)
+    return OPERATORS[name][0](_laid_out(spark, sf_dir, "bucketed", store))
+
+
+def _pruned(name: str, chosen: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator on the wide table stored by program, of which only the chosen programs are read."""
+    store = lambda: layout.store_by_program(orders.wide(spark, sf_dir), scratch_path(spark, "by_program"))
+    wide = _laid_out(spark, sf_dir, "by_program", store)
+    keep = lambda: layout.keep(orders.program_dimension(spark, sf_dir), scratch_path(spark, "dimension"))
+    programs = chosen(_laid_out(spark, sf_dir, "dimension", keep))
+    return OPERATORS[name][0](layout.narrowed(wide, programs))
+
+
+def _of_programs(dimension: DataFrame) -> DataFrame:
+    return dimension.where(F.col("program").isin(CHOSEN_PROGRAMS))
+
+
+def _of_areas(dimension: DataFrame) -> DataFrame:
+    return dimension.where(F.col("area").isin(CHOSEN_AREAS))
+
+
+# Questions asked of each program by itself: they can be narrowed before they are computed.
+BY_PROGRAM = ("session_enrolments", "exam_pass_rate", "hardest_exams", "commitment_rate", "best_exams", "worst_exams", "merit_credits")
+BUCKETED = ("exam_pass_rate", "best_exams", "student_activity", "fast_furious", "merit_credits")
+
+
 def _sql_on_temp_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL that reads a materialised temporary table twice."""
     model = orders.star(spark, sf_dir, student=False)
@@ -151,10 +213,10 @@ def _json_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_on_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SQL over the registered tables, a derived one read twice."""
-    model = orders.star(spark, sf_dir)
-    views.register_tables(spark, model)
-    views.register_derived(spark, model)
+    """SQL over the registered tables, a derived one, which is stored, read twice."""
+    derived = _derived(spark, sf_dir)
+    views.register_tables(spark, derived.model)
+    derived.register()
     return spark.sql(
         """
         SELECT g.program_code, p.program, count(*) AS n_exams, max(g.mean_grade) AS best_mean,
@@ -182,9 +244,19 @@ def queries() -> dict[str, Query]:
     found["session_dates_wide"] = _session_dates_wide
     for name in REPORTS:
         found[f"csv_{name}"] = partial(_csv_report, name)
+    for name in refresh.TABLES:
+        found[f"derived_{name}"] = partial(_derived_table, name, "star")
+        found[f"derived_{name}_wide"] = partial(_derived_table, name, "wide")
+    for name in refresh.ANSWERS:
+        found[f"derived_{name}_wide"] = partial(_derived_answer, name, "wide")
     for name in ("best_exams", "merit_credits"):
         found[f"stored_{name}"] = partial(_stored_star, name)
         found[f"stored_{name}_wide"] = partial(_stored_wide, name)
+    for name in BUCKETED:
+        found[f"bucketed_{name}"] = partial(_bucketed, name)
+    for name in BY_PROGRAM:
+        found[f"pruned_{name}"] = partial(_pruned, name, _of_programs)
+    found["pruned_areas"] = partial(_pruned, "exam_pass_rate", _of_areas)
     found["sql_on_temp_table"] = _sql_on_temp_table
     found["json_program_dimension"] = _json_dimension
     found["sql_on_views"] = _sql_on_views

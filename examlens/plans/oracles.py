@@ -6,7 +6,8 @@ operators merge into one pass is spelt out here step by step.
 
 from __future__ import annotations
 
-from .catalog import CHOSEN_AREAS, CHOSEN_PROGRAMS
+from . import refresh
+from .catalog import BUCKETED, BY_PROGRAM, CHOSEN_AREAS, CHOSEN_PROGRAMS
 from .reports import REPORTS
 
 _BASE = """
@@ -284,9 +285,23 @@ FROM documents"""
     found["session_dates_wide"] = _WIDE + _SESSION_DATES
     for name in REPORTS:
         found[f"csv_{name}"] = _sql(name)
+    for name in refresh.TABLES:
+        found[f"derived_{name}"] = _sql(name)
+        found[f"derived_{name}_wide"] = _sql(name, "wide")
+    for name in refresh.ANSWERS:
+        found[f"derived_{name}_wide"] = _sql(name, "wide")
     for name in ("best_exams", "merit_credits"):
         found[f"stored_{name}"] = _sql(name)
         found[f"stored_{name}_wide"] = _sql(name, "wide")
+    for name in BUCKETED:
+        found[f"bucketed_{name}"] = _sql(name)
+    for name in BY_PROGRAM:
+        found[f"pruned_{name}"] = f"SELECT * FROM ({_sql(name, 'wide')}) AS result WHERE program IN ({programs})"
+    found["pruned_areas"] = _sql(
+        "exam_pass_rate",
+        "wide",
+        suffix=f"\nWHERE program_code IN (SELECT program_code FROM dim WHERE area IN ({areas}))",
+    )
     found["json_program_dimension"] = _BASE + """
 SELECT program_code, program, area, department AS name, department, degree_type, language, inactive FROM dim"""
     found["sql_on_views"] = found["sql_on_temp_table"] = (

@@ -18,6 +18,7 @@ from ..operators.merit import merit_credits
 from ..operators.model import Model
 from ..operators.pass_rate import hardest_exams
 from ..sources.csv import write_csv
+from .refresh import ANSWERS, DerivedSet, refresh
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,8 @@ class Report:
     def columns(self) -> list[Column]:
         return [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc(c) for c in self.order]
 
-    def write(self, model: Model, path: str, *, overwrite: bool = False) -> None:
-        write_csv(self.build(model), path, self.columns(), overwrite=overwrite)
+    def write(self, answer: DataFrame, path: str, *, overwrite: bool = False) -> None:
+        write_csv(answer, path, self.columns(), overwrite=overwrite)
 
 
 REPORTS = {
@@ -50,9 +51,17 @@ REPORTS = {
 
 
 def write_reports(model: Model, folder: str, *, overwrite: bool = False) -> None:
-    """Every report as CSV under `folder/<name>`, in place of earlier ones if `overwrite`."""
+    """Every report as CSV under `folder/<name>`, in place of earlier ones if `overwrite`.
+
+    The derived tables are computed once and serve all reports.
+    """
+    write_answers(refresh(model), folder, overwrite=overwrite)
+
+
+def write_answers(derived: DerivedSet, folder: str, *, overwrite: bool = False) -> None:
+    """Every report from tables that are stored already."""
     for name, report in REPORTS.items():
-        report.write(model, f"{folder}/{name}", overwrite=overwrite)
+        report.write(ANSWERS[name](derived), f"{folder}/{name}", overwrite=overwrite)
 
 
 def choose_programs(results: dict[str, DataFrame], programs: list[str]) -> dict[str, DataFrame]:

@@ -1,0 +1,147 @@
+"""Derived tables, bucketed and partitioned layouts: results as from the models, plans without what they save."""
+
+import re
+
+import pytest
+
+from examlens.operators import activity, attempts, commitment, distribution, grades, merit, pass_rate, summary
+from examlens.plans import catalog, refresh
+from examlens.plans.reports import REPORTS
+from examlens.sources import layout, tables
+from examlens.session import scratch_path
+from mini import Row, day, got, star_of, wide_of
+from test_brute_force import random_rows
+from test_plans import QUERIES, hot_rows, plan
+
+OPERATORS = {
+    "exam_pass_rate": pass_rate.exam_pass_rate,
+    "exam_mean_grade": grades.exam_mean_grade,
+    "student_activity": activity.student_activity,
+    "activity_profile": activity.activity_profile,
+    "students_in_band_27": lambda m: merit.students_in_band(m, 27, 28),
+    "students_in_band_28": lambda m: merit.students_in_band(m, 28, 29),
+    "students_in_band_29": lambda m: merit.students_in_band(m, 29),
+    "bands_27_28": merit.bands_27_28,
+}
+
+
+def same(found, expected):
+    assert found.columns == expected.columns
+    assert got(found, *expected.columns) == got(expected, *expected.columns)
+
+
+def models(spark, rows, empty=()):
+    return {"star": star_of(spark, rows, empty), "wide": wide_of(spark, rows)}
+
+
+@pytest.mark.parametrize("layout_", ["star", "wide"])
+def test_a_refreshed_set_answers_as_the_model(spark, layout_):
+    rows = random_rows(3, True) + [Row("P9", "e1", day(3), None, 0), Row("P9", "e2", day(3), 4, 1)]
+    model = models(spark, rows, [("P9", "e3", day(3))])[layout_]
+    derived = refresh.refresh(model)
+    assert list(derived.tables) == [refresh.SUMMARY, *refresh.TABLES] and list(refresh.TABLES) == list(OPERATORS)
+    for name, operator in OPERATORS.items():
+        same(derived.table(name), operator(model))
+    for name, report in REPORTS.items():
+        same(refresh.ANSWERS[name](derived), report.build(model))
+
+
+@pytest.mark.parametrize("layout_", ["star", "wide"])
+def test_a_set_without_enrolments(spark, layout_):
+    model = models(spark, [Row("P0", "e0", day(0), 1)])[layout_]
+    model = type(model)(**{f: getattr(model, f) for f in model.__dataclass_fields__} | {"enrolment": model.enrolment.limit(0)})
+    derived = refresh.refresh(model)
+    for name, report in REPORTS.items():
+        same(refresh.ANSWERS[name](derived), report.build(model))
+
+
+def test_unlisted_exams_count_as_in_the_model(spark):
+    model = star_of(spark, random_rows(5, False))
+    model = type(model)(model.program, model.exam.where("exam_code <> 'e01'"), model.session, model.enrolment)
+    derived = refresh.refresh(model)
+    for name, operator in OPERATORS.items():
+        same(derived.table(name), operator(model))
+
+
+def test_the_enrolments_are_scanned_once_for_the_whole_set(spark):
+    root = scratch_path(spark, "star")
+    tables.write_star(star_of(spark, random_rows(3, False)), root)
+    model = tables.read_star(spark, root)
+    text = plan(summary.summarise(model))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*Superamento", text)) == 1
+    derived = refresh.refresh(model)
+    for build in [*refresh.TABLES.values(), *refresh.ANSWERS.values()]:
+        assert "Superamento" not in plan(build(derived))
+
+
+def test_a_table_reads_the_files_of_its_grain(spark, sf_dir):
+    derived = catalog._derived(spark, sf_dir)
+    text = plan(refresh.TABLES["student_activity"](derived))
+    assert re.search(r"PartitionFilters: \[[^\]]*grain#\d+ = students", text)
+
+
+def test_maxima_are_one_subquery(spark, sf_dir):
+    final = plan(QUERIES["derived_fast_furious_wide"](spark, sf_dir), executed=True).split("Initial Plan")[0]
+    assert "ReusedSubquery" in final or final.count("Subquery subquery") == 1
+
+
+def test_registered_tables_replace_earlier_ones(spark):
+    for number in (1, 2):
+        refresh.refresh(star_of(spark, [Row(f"P{number}", "e", day(1), 1, 1, 27)])).register()
+        assert [r[0] for r in spark.table("exam_pass_rate").select("program_code").collect()] == [f"P{number}"]
+
+
+@pytest.mark.parametrize("hot", [10**6, 100, 1])
+def test_a_bucketed_model_answers_as_the_model(spark, hot):
+    rows = hot_rows()[::3] + [Row("P1", "e1", day(9), None, 1, 28)] * 3
+    model = star_of(spark, rows)
+    model = type(model)(model.program, model.exam.where("exam_code <> 'e3'"), model.session, model.enrolment)
+    stored = layout.store_bucketed(model, 3, hot_rows=hot)
+    assert stored.hot_students.isEmpty() == (hot == 10**6)
+    operators = [*OPERATORS.values(), distribution.session_enrolments, commitment.commitment_rate, activity.fast_furious]
+    for operator in [*operators, attempts.mean_attempts, activity.grade_per_active_day, merit.merit_credits_full]:
+        same(operator(stored), operator(model))
+
+
+def test_buckets_save_the_shuffles(spark, sf_dir, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for name in ("bucketed_fast_furious", "bucketed_merit_credits", "bucketed_student_activity"):
+        text = plan(QUERIES[name](spark, sf_dir), executed=True).split("Initial Plan")[0]
+        assert "Bucketed: true" in text
+        assert not re.search(r"Exchange hashpartitioning\((student_id|session_id)", text)
+    text = plan(QUERIES["bucketed_exam_pass_rate"](spark, sf_dir), executed=True).split("Initial Plan")[0]
+    assert "SortMergeJoin [session_id" in text or "ShuffledHashJoin [session_id" in text
+    assert not re.search(r"Exchange hashpartitioning\(session_id", text)
+
+
+def test_hot_keys_are_kept_out_of_the_buckets(spark):
+    rows = spark.range(1000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7L ELSE id END AS k", "id")
+    cold, hot = layout.split_hot(rows, ["k"], 100)
+    assert sorted({r["k"] for r in hot.collect()}, key=repr) == [7, None]
+    assert cold.count() + hot.count() == 1000
+
+
+def test_selections_prune_the_folders(spark, sf_dir):
+    for name in ("pruned_best_exams", "pruned_merit_credits", "pruned_areas"):
+        found = QUERIES[name](spark, sf_dir)
+        text = plan(found, executed=True)
+        assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruningexpression\(program_code", text)
+    scan = QUERIES["pruned_best_exams"](spark, sf_dir)
+    scan.collect()
+    read = re.findall(r"number of partitions read: (\d+)", str(scan._jdf.queryExecution().executedPlan().toString()))
+    assert not read or int(read[0]) == len(catalog.CHOSEN_PROGRAMS)
+
+
+def test_hot_programs_are_stored_in_several_files(spark, conf):
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    conf("spark.sql.shuffle.partitions", "8")
+    rows = [Row("P0" if n % 3 else f"P{n % 50}", f"e{n % 7}", day(n % 300), n, 1, 20) for n in range(20000)]
+    path = scratch_path(spark, "by_program")
+    model = wide_of(spark, rows)
+    model = type(model)(model.enrolment.repartition(16))
+    stored = layout.store_by_program(model, path)
+    files = [f for f in stored.enrolment.inputFiles() if "program_code=P0/" in f]
+    assert len(files) > 1
+    same(grades.best_exams(stored), grades.best_exams(wide_of(spark, rows)))
+    none = stored.enrolment.sparkSession.createDataFrame([], "program_code string")
+    assert grades.best_exams(layout.narrowed(stored, none)).collect() == []
