@@ -111,18 +111,9 @@ _RULES = ", ".join(f"('{r.host}', '{r.path}', '{r.pattern}', '{r.verdict}')" for
 
 
 def _urls(how: Spread) -> str:
-    """The walk unrolled, a table a step."""
-    steps = "".join(
-        f"""
-s{i} AS (
-    SELECT kind, host, sum(score) AS score FROM (
-        SELECT kind, host, {1 - how.damping} * seed AS score FROM seeds
-        UNION ALL SELECT s.kind, w.dst, {how.damping} * s.score * w.part
-        FROM s{i - 1} s JOIN ways w ON s.kind = w.kind AND s.host = w.src) GROUP BY kind, host),"""
-        for i in range(1, how.steps + 1)
-    )
+    """The walk goes on until nothing is left to pass on, not even the smallest number."""
     return f"""
-WITH p AS (
+WITH RECURSIVE p AS (
     SELECT page_id, {_HOST.format("url")} AS host,
            regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
 rules(rule_host, rule_path, rule, verdict) AS (VALUES {_RULES}),
@@ -134,17 +125,23 @@ ruled AS (SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN fits USING
 pages_by AS (SELECT verdict AS kind, host, count(*) AS n FROM ruled WHERE verdict IS NOT NULL AND host <> '' GROUP BY ALL),
 seeds AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS seed FROM pages_by),
 hrefs AS (
-    SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]+)', 1)) AS link
+    SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?\\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1)) AS link
     FROM p),
 links AS (
-    SELECT src, dst, count(*) AS n FROM (SELECT src, {_HOST.format("link")} AS dst FROM hrefs)
+    SELECT src, dst, count(*) AS n
+    FROM (SELECT src, {_HOST.format("CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END")} AS dst FROM hrefs)
     WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
 both_ways AS (SELECT 'allow' AS kind, src, dst, n FROM links UNION ALL SELECT 'block', dst, src, n FROM links),
 ways AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS part FROM both_ways),
-s0 AS (SELECT kind, host, seed AS score FROM seeds),{steps}
+walk(kind, host, passed) AS (
+    SELECT kind, host, CAST(seed AS DOUBLE) FROM seeds
+    UNION ALL
+    SELECT w.kind, w.dst, sum({how.damping} * s.passed * w.part)
+    FROM walk s JOIN ways w ON s.kind = w.kind AND s.host = w.src
+    GROUP BY w.kind, w.dst HAVING sum({how.damping} * s.passed * w.part) > 0),
 scores AS (
-    SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust,
-           coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust FROM s{how.steps} GROUP BY host)
+    SELECT host, coalesce(sum({1 - how.damping} * passed) FILTER (kind = 'allow'), 0) AS trust,
+           coalesce(sum({1 - how.damping} * passed) FILTER (kind = 'block'), 0) AS distrust FROM walk GROUP BY host)
 SELECT page_id, ruled.host AS host, path, rule,
        coalesce(verdict, CASE WHEN distrust > {how.threshold} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN scores ON ruled.host = scores.host

@@ -11,7 +11,8 @@ from .common import written
 
 ALLOW, BLOCK = "allow", "block"
 
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+# The address of a link that names a host, with or without a scheme; blanks before it are no part of it.
+HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 @dataclass(frozen=True)
@@ -32,14 +33,15 @@ class Rule:
 
 @dataclass(frozen=True)
 class Spread:
-    """`damping` of a host's score follows its links in each of `steps` steps; the seeds get the rest.
+    """`damping` of a host's score follows its links, the rest stays.
 
-    What is left after the steps is damping ** steps of all score. A host is blocked if
-    distrust is more than `threshold` of what reaches it.
+    Score is passed on until what is left to pass is below `tolerance` of what each host
+    has: as a verdict compares two scores of one host, small ones count as large ones do.
+    A host is blocked if distrust is more than `threshold` of what reaches it.
     """
 
     damping: float = 0.5
-    steps: int = 8
+    tolerance: float = 1e-12
     threshold: float = 0.5
 
 
@@ -69,12 +71,13 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """Links between different hosts, `src`, `dst`, `n`, from the absolute links of the pages.
+    """Links between different hosts, `src`, `dst`, `n`, from the links of the pages that name a host.
 
     Relative links stay on their host and carry no score elsewhere.
     """
     found = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link"))
-    found = found.select(F.col("host").alias("src"), host_and_path(F.col("link"))[0].alias("dst"))
+    address = F.when(F.startswith("link", F.lit("//")), F.concat(F.lit(":"), "link")).otherwise(F.col("link"))
+    found = found.select(F.col("host").alias("src"), host_and_path(address)[0].alias("dst"))
     return found.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -82,8 +85,15 @@ def spread(seeds: DataFrame, links: DataFrame, how: Spread = Spread()) -> DataFr
     """`host`, `trust`, `distrust`: personalised PageRank over links and over links reversed.
 
     `seeds` has `host`, `allowed`, `blocked` (pages under rules). Both walks run as one
-    table by kind, so a step is one join and one aggregate, combined before its
-    shuffle; a hub's links are split by AQE. Every step is written to the shared folder.
+    table by kind. Each step adds what has arrived at a host to its score and passes
+    `damping` of it on; what is below the tolerance of the host's score is not passed on
+    any more: everything behind the host has got as large a part of its own score
+    before. So a step's work shrinks to the hosts that still change, and the walk ends
+    after as many steps as the farthest host is away, and those its tolerance takes.
+    (Scores below 1e-308 are zero: with the default damping, beyond 1,000 links.)
+
+    A step is one join and aggregates combined before their shuffles; a hub's links are
+    split by AQE. Every step is written to the shared folder; two numbers leave it.
     """
     kinds = F.inline(F.array(
         F.struct(F.lit(ALLOW).alias("kind"), F.col("allowed").alias("n")),
@@ -92,25 +102,30 @@ def spread(seeds: DataFrame, links: DataFrame, how: Spread = Spread()) -> DataFr
     start = seeds.select("host", kinds).where("n > 0")
     totals = start.groupBy("kind").agg(F.sum("n").alias("total"))
     start = start.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))
-    ways = links.select(F.lit(ALLOW).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionAll(
+    both = links.select(F.lit(ALLOW).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionAll(
         links.select(F.lit(BLOCK).alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
     )
-    out = ways.groupBy("kind", "host").agg(F.sum("n").alias("all"))
-    ways = written(ways.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("part")), "ways")
-    start = written(start, "seeds")
-    score = start.select("kind", "host", F.col("seed").alias("score"))
-    if ways.isEmpty():  # every step keeps the seeds' own share and moves nothing
-        score = start.select("kind", "host", ((1 - how.damping if how.steps else 1.0) * F.col("seed")).alias("score"))
-    else:
-        for _ in range(how.steps):
-            moved = score.join(ways, ["kind", "host"]).select(
-                "kind", F.col("to").alias("host"), (how.damping * F.col("score") * F.col("part")).alias("score")
-            )
-            kept = start.select("kind", "host", ((1 - how.damping) * F.col("seed")).alias("score"))
-            both = moved.unionAll(kept)
-            score = written(both.groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
+    out = both.groupBy("kind", "host").agg(F.sum("n").alias("all"))
+    ways = both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("part"))
+    ways = written(ways, "ways")
+    keep = 1 - how.damping
+    state = written(
+        start.select("kind", "host", (keep * F.col("seed")).alias("score"), F.col("seed").alias("passed")), "scores"
+    )
+    while not ways.isEmpty():  # without links every score stays where it is
+        arrived = state.where("passed > 0").join(ways, ["kind", "host"]).select(
+            "kind", F.col("to").alias("host"), F.lit(0.0).alias("score"),
+            (how.damping * F.col("passed") * F.col("part")).alias("passed"),
+        )
+        held = state.select("kind", "host", "score", F.lit(0.0).alias("passed"))
+        summed = held.unionAll(arrived).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("passed").alias("passed"))
+        score = F.col("score") + keep * F.col("passed")
+        left = F.when(keep * F.col("passed") > how.tolerance * score, F.col("passed")).otherwise(0.0)
+        state = written(summed.select("kind", "host", score.alias("score"), left.alias("passed")), "scores")
+        if state.where("passed > 0").isEmpty():
+            break
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
-    return score.groupBy("host").agg(of(ALLOW).alias("trust"), of(BLOCK).alias("distrust"))
+    return state.groupBy("host").agg(of(ALLOW).alias("trust"), of(BLOCK).alias("distrust"))
 
 
 def judge(
