@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import re
 
@@ -14,6 +16,8 @@ from .common import Words, ragged, strings
 
 # A process keeps the result of so many different pieces; later ones are encoded anew.
 CACHED_PIECES = 1_000_000
+# It forgets its different words once it has more of them.
+CACHED_WORDS = 1_000_000
 
 # Not white space to every library, or not in every version: not taken as the start of a piece.
 UNSURE = "\u180e\u200b\ufeff"
@@ -28,9 +32,18 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-# Letters of every Unicode version, then ASCII marks: split patterns that tell letters from
-# other marks always cut between them.
-LETTERS_MARKS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]+)")
+# Letters of every Unicode version that stay one letter in lower case (U+0130 does not: its
+# dot becomes a mark of its own).
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+# Such letters, then ASCII marks: split patterns that tell letters from other marks always
+# cut between them.
+LETTERS_MARKS = re.compile(rf"( ?[{LETTERS}]+)([!-/:-@\[-`{{-~]+)")
+LETTER_MARK = rf"([{LETTERS}])([!-/:-@\[-`{{-~])"
+ONLY_LETTERS = re.compile(rf"[{LETTERS}]+")
+# So many words of letters are encoded as one text.
+JOINED = 64
+# Words whose lower case is that of every library, character by character.
+PLAIN = re.compile(rf"[!-~{LETTERS}]+")
 
 
 class Known:
@@ -40,15 +53,13 @@ class Known:
         self.encode = encode
         self.known: dict = {}
 
-    def __call__(self, pieces: list[str], fold=None) -> list:
-        """`fold` maps a piece to one with the same result."""
+    def __call__(self, pieces: list[str]) -> list:
         known = self.known
         missing = [p for p in pieces if p not in known]
         parts = []
         for piece in missing:
-            plain = fold(piece) if fold else piece
-            cut = LETTERS_MARKS.fullmatch(plain)
-            parts.append(cut.groups() if cut else (plain,))
+            cut = LETTERS_MARKS.fullmatch(piece)
+            parts.append(cut.groups() if cut else (piece,))
         new = list({x for group in parts for x in group if x not in known})
         found = dict(zip(new, self.encode(new), strict=True))
         kept = len(known) < CACHED_PIECES
@@ -62,6 +73,21 @@ class Known:
         return [made[p] if p in made else known[p] for p in pieces]
 
 
+class Growing:
+    """Numbers that are appended to, without a copy of all each time."""
+
+    def __init__(self, kind: type):
+        self.size, self.held = 0, np.empty(1 << 16, dtype=kind)
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.held):
+            grown = np.empty(2 * (self.size + len(values)), dtype=self.held.dtype)
+            grown[: self.size] = self.held[: self.size]
+            self.held = grown
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
 class PieceCounts:
     """Token counts of whole texts under a byte-level BPE whose words take one blank before them.
 
@@ -119,28 +145,71 @@ class WordIds:
     no word holds white space, blanks do not compose with marks, lower-casing looks at
     single characters, and special strings hold no blank. So the ids of a text are
     those of its words `[^\\x20\\x09-\\x0D]+`, one after the other.
+
+    Words are numbers here: the ids of all different ones lie end to end, and a text is
+    put together from them by position, without a Python object an occurrence.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.known = Known(self._encode)
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    @staticmethod
-    def _fold(word: str) -> str:
-        """Lower case, where that leaves special strings alone."""
-        return word.lower() if word.isascii() and "<|" not in word else word
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        spelt = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        # Whether an id ends a word, where the tokenizer says so.
+        self.ends = np.array([t.endswith(suffix) for t in spelt]) if suffix else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words, those that have the same lower case once."""
+        plain = [w if w.isascii() or not PLAIN.fullmatch(w) else w.lower() for w in words]
+        new = [w for w in dict.fromkeys(plain) if w not in self.words]
+        single, joined = [], []
+        for word in new:
+            (joined if self.ends is not None and ONLY_LETTERS.fullmatch(word) else single).append(word)
+        first = self.starts.size
+        ids, lengths = self._encode_joined(joined)
+        if len(lengths) != len(joined):  # a tokenizer that takes letters apart
+            single, joined = single + joined, []
+        else:
+            self._append(ids, lengths)
+        self._append(*self._flat(single))
+        new = joined + single
+        self.words.update(zip(new, range(first, first + len(new)), strict=True))
+        self.words.update((w, self.words[p]) for w, p in zip(words, plain, strict=True) if w is not p)
+
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts.add(np.cumsum(lengths) - lengths + self.ids.size)
+        self.lengths.add(lengths)
+        self.ids.add(ids)
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts end to end, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
+        return ids, lengths
+
+    def _encode_joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """`_flat` of words of letters: many in one text, told apart by the ids that end a word."""
+        ids, _ = self._flat([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1) if words else np.zeros(0, np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one array, and the bounds of each text in it."""
-        words = Words(texts)
-        each = self.known(words.distinct.to_pylist(), self._fold)
-        lengths = np.array([len(x) // 4 for x in each], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(each), dtype="<u4")
-        taken = lengths[words.codes]
-        ids = flat[ragged(starts[words.codes], taken)]
-        return ids, np.concatenate(([0], np.cumsum(taken)))[words.rows]
+        if len(self.words) > CACHED_WORDS:
+            self._forget()
+        texts = strings(texts)
+        # Fewer different words: lower case, and marks cut off, but in texts that may hold special strings.
+        cut = pc.replace_substring_regex(texts, pattern=LETTER_MARK, replacement=r"\1 \2")
+        words = Words(pc.if_else(pc.match_substring(texts, pattern="<|"), texts, pc.ascii_lower(cut)))
+        distinct, known = words.distinct.to_pylist(), self.words
+        # An empty word stands for the ends of texts and is never taken.
+        self._learn([w for w in distinct if w and w not in known])
+        places = np.fromiter((known[w] if w else 0 for w in distinct), dtype=np.int64, count=len(distinct))
+        entries = places[words.codes]
+        lengths = self.lengths.held[entries]
+        ids = self.ids.held[ragged(self.starts.held[entries], lengths)]
+        return ids, np.concatenate(([0], np.cumsum(lengths)))[words.rows]

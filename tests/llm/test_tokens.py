@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from llm.conftest import order
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from examlens.llm import bpe, packing, token_counts, tokenizing
 
-PARTS = ["a", "bc", " ", "  ", "\n", "é", "<|endoftext|>", "'s", "12", "!!", "\t", "word ", "\u3000", "x" * 30]
+PARTS = ["a", "bc", "İ", "Σ", "É", " ", "  ", "\n", "é", "<|endoftext|>", "'s", "12", "!!", "\t", "word ", "\u3000", "x" * 30]
 EDGES = [None, "", " ", "  ", " a", "a ", "a  b", "\n x", "it's we'll 'S", "é ü 漢字 12 345", "a\n b \n c", "\u180ex  y"]
 
 
@@ -77,6 +78,37 @@ def check_pieces(pieces, rows, window=4096):
     assert sorted(lengths)[1:] == [window] * (len(lengths) - 1) and max(lengths, default=0) <= window
 
 
+LETTERS = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()] + list("İıſßŉǰΐςΣΩÅﬁΑ漢あ\u0345\u0307\u00b2\u2160")
+MARKS = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+
+
+def test_every_letter_before_every_mark():
+    """Where words are cut and lower-cased, the library cuts and lower-cases too."""
+    words = [f"{x}{y}{z}" for x in LETTERS for y in MARKS for z in ("", "b")]
+    words += [f"{x}{y}" for x in LETTERS for y in LETTERS[::7]] + [f"a{x}'s{y} {y}{x}" for x in LETTERS[::3] for y in MARKS]
+    words += ["<|endoftext|>", "A<|endoftext|>B", "<|STARTOFTEXT|>", "x<|", "A|>", "'Sword", "we'LL", "\u00c9\u0301!"]
+    library = tokenizing.load(P.path("word_bpe_49k.json"))
+    ids, bounds = tokenizing.WordIds(P.path("word_bpe_49k.json"))(pa.array(words))
+    expected = [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
+    library = tokenizing.load(P.path("byte_bpe_50k.json"))
+    texts = [f"q {w} {w}" for w in words]
+    counts = tokenizing.PieceCounts(P.path("byte_bpe_50k.json"))(pa.array(texts))
+    assert counts.tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("limit", [3, 10**6])
+def test_words_are_forgotten_and_learnt_again(monkeypatch, limit):
+    monkeypatch.setattr(tokenizing, "CACHED_WORDS", limit)
+    made, library = tokenizing.WordIds(P.path("word_bpe_49k.json")), tokenizing.load(P.path("word_bpe_49k.json"))
+    for seed in range(4):
+        texts = [t or "" for t in mixed(60, seed)]
+        ids, bounds = made(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [
+            e.ids for e in library.encode_batch(texts, add_special_tokens=False)
+        ]
+
+
 def test_packing_documents(docs, texts):
     file = P.path("word_bpe_49k.json")
     check_pieces(packing.with_crc32(packing.pack(docs.repartition(5), file, end_id=2)).collect(), texts)
