@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import scratch_path
@@ -44,6 +45,11 @@ def map_batches(df: DataFrame, function, schema: StructType) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def whole_row(docs: DataFrame, *names: str) -> Column:
+    """The columns, or those named, as one struct; names may hold dots or backticks."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in names or docs.columns])
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import CLOSE, OPEN, SEPARATOR
-from .quality import MAX_REPEAT_PERCENT, MIN_WORDS, SIGNALS, Risk
+from .quality import JOINT, MAX_REPEAT_PERCENT, MIN_WORDS, SIGNALS
 from .queries import RULES, TRICKY_ID, TRICKY_TEXT
 from .urls import Spread
 from .warc import MIN_REVISIT_BYTES
@@ -25,11 +25,11 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-_RATE = Risk().rate / len(SIGNALS)
+_RISK = JOINT
 _LEVELS = " UNION ALL ".join(
-    f"SELECT *, '{name}' AS signal, "
+    f"SELECT *, {at} AS spot, "
     f"CAST(coalesce(ceil({part} / nullif({whole}, 0) * {steps}), 0) AS INTEGER) AS level FROM judged"
-    for name, (part, whole, steps) in SIGNALS.items()
+    for at, (part, whole, steps) in enumerate(SIGNALS.values())
 )
 QUALITY = f"""
 WITH d AS (
@@ -53,24 +53,29 @@ judged AS (
     SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted),
 levels AS ({_LEVELS}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
-steps AS (
-    SELECT stratum, signal, level, count(*) AS n FROM levels
-    WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+firsts AS (
+    SELECT doc_id, stratum, coalesce(min(spot) FILTER (level > 0), {len(SIGNALS)}) AS spot,
+           coalesce(arg_min(level, spot) FILTER (level > 0), 0) AS level
+    FROM levels WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY doc_id, stratum),
+steps AS (SELECT stratum, spot, level, count(*) AS n FROM firsts GROUP BY ALL),
 tried AS (
-    SELECT stratum, signal, level, sum(n) OVER (PARTITION BY stratum, signal) AS n,
-           coalesce(sum(n) OVER (PARTITION BY stratum, signal ORDER BY level DESC
+    SELECT stratum, spot, level, sum(n) OVER (PARTITION BY stratum) AS n,
+           coalesce(sum(n) OVER (PARTITION BY stratum ORDER BY spot, level DESC
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
     FROM steps),
-tests AS (SELECT count(*) AS m FROM (SELECT DISTINCT stratum, signal FROM steps)),
+tests AS (SELECT count(DISTINCT stratum) AS m FROM steps),
 terms AS (
-    SELECT stratum, signal, level, n, k, unnest(range(CAST(k AS BIGINT) + 1)) AS i FROM tried WHERE k < n * {_RATE}),
+    SELECT stratum, spot, level, n, k, unnest(range(CAST(k AS BIGINT) + 1)) AS i FROM tried WHERE k < n * {_RISK.rate}),
 tails AS (
-    SELECT stratum, signal, level,
-           sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE}))) AS tail
+    SELECT stratum, spot, level,
+           sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RISK.rate}) + (n - i) * ln(1 - {_RISK.rate}))) AS tail
     FROM terms GROUP BY ALL),
-cutoffs AS (
-    SELECT stratum, signal, min(level) AS cutoff FROM tails, tests WHERE tail <= {Risk().error} / m GROUP BY ALL),
-rejected AS (SELECT DISTINCT doc_id FROM levels JOIN cutoffs USING (stratum, signal) WHERE level > cutoff)
+last AS (
+    SELECT stratum, max(spot) AS spot, arg_max(level, spot * 1000000 - level) AS level
+    FROM tails, tests WHERE tail <= {_RISK.error} / m GROUP BY stratum),
+rejected AS (
+    SELECT DISTINCT doc_id FROM levels JOIN last USING (stratum)
+    WHERE levels.level > 0 AND (levels.spot < last.spot OR levels.spot = last.spot AND levels.level > last.level))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
 FROM judged

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WHITE, written
+from .common import WHITE, written, whole_row
 
 # Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -59,6 +59,10 @@ class Risk:
         return math.ceil(math.log(self.error / (strata * signals)) / math.log1p(-self.rate / signals))
 
 
+# What the queries take: good bounds from few labels.
+JOINT = Risk(joint=True)
+
+
 def without(text: Column, characters: str) -> Column:
     for c in characters:
         text = F.replace(text, F.lit(c), F.lit(""))
@@ -245,7 +249,7 @@ def quality_rules(
     what passes the base rules, bad labels or not; repeated rows are judged alike; empty tables give an empty result. Other
     columns are read only if carried, and cannot clash there.
     """
-    row = [F.struct(*carried).alias(CARRIED)] if carried else []
+    row = [whole_row(docs, *carried).alias(CARRIED)] if carried else []
     stratum = F.coalesce(F.col(stratum_column).cast("string"), F.lit(""))
     columns = [F.col(id_column).alias("_id"), stratum.alias("stratum"), *row]
     # Written before anything is asked of the counts: a filter on them, pushed into the

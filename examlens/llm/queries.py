@@ -77,7 +77,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return quality.quality_rules(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality.quality_rules(docs, labels, risk=quality.JOINT)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

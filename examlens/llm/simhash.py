@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_batches, shuffle_partitions, strings, written
+from .common import map_batches, shuffle_partitions, strings, whole_row, written
 from .graph import components
 
 BITS = 64
@@ -295,7 +295,7 @@ def one_per_group(
         F.xxhash64(F.lit(1), id_column, text).alias("h1"), F.xxhash64(F.lit(2), text, id_column).alias("h2")
     )
     source = docs.select(
-        F.struct(*docs.columns).alias("_row"), F.col(id_column).alias("_id"), text.alias("_body"), name.alias("_name")
+        whole_row(docs).alias("_row"), F.col(id_column).alias("_id"), text.alias("_body"), name.alias("_name")
     ).select("_row", "_id", "_body", "_name.*")
     prints = written(fingerprints(source, shingle=shingle, carried=("_id", "h1", "h2"), text_column="_body"), "simhash_prints")
     named = prints.groupBy("_id", "h1", "h2", "fp").agg(F.count(F.lit(1)).alias("n"))

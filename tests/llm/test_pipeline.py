@@ -28,7 +28,7 @@ def test_pipeline(spark, sf_dir, docs):
         after = {r["doc_id"]: r["text"] for r in left.collect()}
         if name == "quality":
             labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-            judged = quality.quality_rules(rows, labels).where("kept").collect()
+            judged = quality.quality_rules(rows, labels, risk=quality.JOINT).where("kept").collect()
             assert set(after) == {r["doc_id"] for r in judged}
         elif name == "near_duplicates":
             ids = sorted(before)

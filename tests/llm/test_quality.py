@@ -176,7 +176,11 @@ def test_cutoffs_and_kept_with_enough_labels(spark, tmp_path):
     kept = {r["doc_id"] for r in quality.quality_rules(docs, named).where("kept").collect()}
     assert kept == expected
     named.write.parquet(str(tmp_path / "labels.parquet"))
-    assert sorted(corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()) == [r for r in rows if r[0] in expected]
+    joint = {r["doc_id"] for r in quality.quality_rules(docs, named, risk=quality.JOINT).where("kept").collect()}
+    plain_cutoffs = plain_joint(rows, labels)
+    assert joint == {i for i, t, lang in rows if not base_failed(t) and not any(
+        a > b for a, b in zip(plain_levels(t), plain_cutoffs.get(lang, [math.inf] * 4), strict=True))}
+    assert sorted(corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()) == [r for r in rows if r[0] in joint]
 
 
 def test_strata_do_not_meet_in_one_task(spark):
