@@ -17,7 +17,7 @@ from examlens.llm.queries import END_ID
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
-    judged = quality.quality_rules(docs, labels, carried=tuple(docs.columns))
+    judged = quality.quality_rules(docs, labels, carried=tuple(docs.columns), risk=quality.JOINT)
     return judged.where("kept").select(f"{quality.CARRIED}.*")
 
 
