@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_between
 from ..functions.text import short_label
-from ..operators import activity, attempts, commitment, dashboard, distribution, grades, merit, pass_rate
+from ..operators import activity, attempts, commitment, dashboard, distribution, distributions, grades, merit, pass_rate
 from ..operators.model import Model
 from ..session import scratch_path
-from ..sources import csv, dimension, layout, orders, tables, views
+from ..sources import csv, dimension, export, layout, orders, sql, tables, views
 from . import refresh
 from .reports import REPORTS, choose_programs
 
@@ -39,6 +39,8 @@ OPERATORS: dict[str, tuple[Callable[[Model], DataFrame], bool, bool]] = {
     "activity_profile": (activity.activity_profile, True, False),
     "fast_furious": (activity.fast_furious, True, False),
     "weighted_fast_furious": (partial(activity.weighted_fast_furious, grade_weight=0.7), True, False),
+    "fast_furious_deciles": (distributions.fast_furious_deciles, True, False),
+    "fast_furious_by_weight": (distributions.fast_furious_by_weight, True, False),
     "grade_per_active_day": (activity.grade_per_active_day, True, False),
     "trial_and_error_by_program": (attempts.trial_and_error_by_program, True, True),
     "trial_and_error": (attempts.trial_and_error, True, True),
@@ -212,6 +214,34 @@ def _json_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dimension.read_program_dimension(spark, path)
 
 
+def _json_array_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The program dimension written as one array in a script and read back."""
+    path = scratch_path(spark, "program_array")
+    dimension.write_program_array(orders.program_dimension(spark, sf_dir), path)
+    return dimension.read_program_array(spark, path)
+
+
+def _export(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report exported as one file in parts and read back."""
+    answer = _derived_answer(name, "star", spark, sf_dir)
+    path = scratch_path(spark, f"export_{name}")
+    export.export_csv(answer, path, REPORTS[name].columns())
+    return export.read_export(spark, path, answer.schema)
+
+
+def _statement(name: str, values: dict, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQL statement on the registered tables, reports and functions."""
+    derived = _derived(spark, sf_dir)
+    views.register_tables(spark, derived.model)
+    refresh.register_reports(derived)
+    sql.register_functions(spark)
+    return sql.STATEMENTS[name].run(spark, **values)
+
+
+PARAMETERS = {"commitment_top_n": {"programs": CHOSEN_PROGRAMS, "limit": 10}, "weighted_fast_furious": {"weight": 0.7}}
+EXPORTED = ("session_enrolments", "best_exams", "fast_furious", "merit_credits")
+
+
 def _sql_on_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL over the registered tables, a derived one, which is stored, read twice."""
     derived = _derived(spark, sf_dir)
@@ -259,5 +289,10 @@ def queries() -> dict[str, Query]:
     found["pruned_areas"] = partial(_pruned, "exam_pass_rate", _of_areas)
     found["sql_on_temp_table"] = _sql_on_temp_table
     found["json_program_dimension"] = _json_dimension
+    found["json_array_program_dimension"] = _json_array_dimension
+    for name in EXPORTED:
+        found[f"export_{name}"] = partial(_export, name)
+    for name in sql.STATEMENTS:
+        found[f"sql_{name}"] = partial(_statement, name, PARAMETERS.get(name, {}))
     found["sql_on_views"] = _sql_on_views
     return found

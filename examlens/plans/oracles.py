@@ -7,7 +7,7 @@ operators merge into one pass is spelt out here step by step.
 from __future__ import annotations
 
 from . import refresh
-from .catalog import BUCKETED, BY_PROGRAM, CHOSEN_AREAS, CHOSEN_PROGRAMS
+from .catalog import BUCKETED, BY_PROGRAM, CHOSEN_AREAS, CHOSEN_PROGRAMS, EXPORTED
 from .reports import REPORTS
 
 _BASE = """
@@ -200,6 +200,19 @@ QUALIFY row_number() OVER (PARTITION BY program_code, year ORDER BY ratio, exam_
     "activity_profile": (_ACTIVITY, "SELECT * FROM profile"),
     "fast_furious": (_ACTIVITY, "SELECT * FROM scored"),
     "weighted_fast_furious": (_ACTIVITY, "SELECT * FROM scored"),
+    "fast_furious_deciles": (_ACTIVITY, """SELECT program_code, program, part AS decile, score, n AS n_students
+FROM (SELECT program_code, program, score, count(*) OVER (PARTITION BY program_code, program) AS n,
+        row_number() OVER (PARTITION BY program_code, program ORDER BY score) AS place
+      FROM scored WHERE score IS NOT NULL)
+JOIN (SELECT CAST(unnest(range(1, 10)) AS INTEGER) AS part) ON place = (n * part + 9) // 10"""),
+    "fast_furious_by_weight": (_ACTIVITY, """SELECT program_code, program, weight,
+  CAST(row_number() OVER (PARTITION BY program_code, program, weight ORDER BY score DESC, student_id) AS INTEGER) AS rank,
+  student_id, score
+FROM (SELECT program_code, program, student_id, weight,
+        weight * avg_grade_norm
+        + (CAST(1.0 AS DOUBLE) - weight) * ((CAST(1.0 AS DOUBLE) - diff_day_norm) * n_exams_norm) AS score
+      FROM scored, (SELECT CAST(unnest(range(101)) AS DOUBLE) / 100 AS weight))
+WHERE score IS NOT NULL QUALIFY rank <= 3"""),
     "grade_per_active_day": ("", """SELECT program_code, program, student_id,
   avg(grade) FILTER (WHERE passed = 1) AS avg_grade,
   CAST(max(date) - min(date) AS DOUBLE) AS active_days,
@@ -304,6 +317,22 @@ FROM documents"""
     )
     found["json_program_dimension"] = _BASE + """
 SELECT program_code, program, area, department AS name, department, degree_type, language, inactive FROM dim"""
+    found["json_array_program_dimension"] = found["json_program_dimension"]
+    for name in EXPORTED:
+        found[f"export_{name}"] = _sql(name)
+    found["sql_top_exams"] = _sql("best_exams")
+    found["sql_hardest_exams"] = _sql("hardest_exams")
+    found["sql_commitment_top_n"] = found["commitment_top_n"]
+    found["sql_weighted_fast_furious"] = _sql("weighted_fast_furious")
+    found["sql_labels"] = _STAR + _RATES + """
+SELECT program_code, exam_code,
+       CASE WHEN length(program || ' ' || exam) > 65 THEN substring(program || ' ' || exam, 1, 61) || '...'
+            ELSE program || ' ' || exam END AS label,
+       replace(regexp_replace(CAST(CAST(sum(n_passed) AS DOUBLE) * 100.0 / sum(n_enrolled) AS VARCHAR), '[.]0$', ''), '.', ',') AS rate,
+       CAST(sum(n_passed) AS VARCHAR) AS passed,
+       CAST(max(make_date(CAST(year AS INTEGER), 12, 31) - make_date(CAST(year AS INTEGER), 1, 1)) AS DOUBLE) AS days,
+       make_date(CAST(max(year) AS INTEGER), 12, 31) AS until
+FROM rates GROUP BY program_code, program, exam_code, exam"""
     found["sql_on_views"] = found["sql_on_temp_table"] = (
         _STAR
         + _fill(_MEANS, graded=" AND grade IS NOT NULL")

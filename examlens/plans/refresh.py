@@ -110,6 +110,13 @@ def refresh(model: Model, root: str | None = None) -> DerivedSet:
     return derived
 
 
+def register_reports(derived: DerivedSet) -> None:
+    """The reports as temporary views, beside the tables they read."""
+    derived.register()
+    for name, answer in ANSWERS.items():
+        temp_table(derived.spark, name, answer(derived))
+
+
 def _session_enrolments(derived: DerivedSet) -> DataFrame:
     keys = [*derived.model.keys("program"), "session_date"]
     per_date = derived.grain(summary.SESSIONS).groupBy(*keys).agg(F.sum("n").alias("n"))
