@@ -64,17 +64,18 @@ class Statement:
         return spark.sql(self.text, args=values)
 
 
-# On the tables of a refreshed set and its reports.
+# On the tables of a refreshed set and its reports. The first rows of each program are asked
+# for program by program (LATERAL), with their rank spelt out: Spark turns a correlated ORDER BY
+# ... LIMIT into a rank without an order, whose rows depend on a sort below the shuffle.
 STATEMENTS = {
-    # The first exams of every program, asked for program by program.
     "top_exams": Statement(
         """
         SELECT p.program_code, p.program, best.exam_code, best.exam, best.mean_grade
         FROM program p, LATERAL (
-            SELECT exam_code, exam, mean_grade FROM exam_mean_grade g
-            WHERE g.program_code = p.program_code AND exam_code IS NOT NULL AND mean_grade IS NOT NULL
-            ORDER BY mean_grade DESC, exam_code
-            LIMIT 3) best
+            SELECT * FROM (
+                SELECT *, row_number() OVER (PARTITION BY program_code ORDER BY mean_grade DESC, exam_code) AS place
+                FROM exam_mean_grade WHERE exam_code IS NOT NULL AND mean_grade IS NOT NULL) g
+            WHERE g.program_code = p.program_code AND place <= 3) best
         """
     ),
     # All years of the exams that are among the first rows of their program.
@@ -82,12 +83,11 @@ STATEMENTS = {
         """
         SELECT r.* FROM exam_pass_rate r
         WHERE EXISTS (
-            SELECT 1 FROM program p, LATERAL (
-                SELECT exam_code FROM exam_pass_rate f
-                WHERE f.program_code = p.program_code AND exam_code IS NOT NULL
-                ORDER BY year, ratio, exam_code
-                LIMIT 10) hard
-            WHERE p.program_code = r.program_code AND hard.exam_code = r.exam_code)
+            SELECT 1 FROM (
+                SELECT program_code, exam_code,
+                       row_number() OVER (PARTITION BY program_code ORDER BY year, ratio, exam_code) AS place
+                FROM exam_pass_rate WHERE program_code IS NOT NULL AND exam_code IS NOT NULL) hard
+            WHERE hard.program_code = r.program_code AND hard.exam_code = r.exam_code AND place <= 10)
         """
     ),
     "commitment_top_n": Statement(

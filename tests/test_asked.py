@@ -186,13 +186,14 @@ def registered(spark):
 
 
 @pytest.mark.parametrize("name", ["top_exams", "hardest_exams"])
-def test_correlated_limits_become_ranks(spark, registered, name):
+def test_correlated_subqueries_rank_by_an_explicit_order(spark, registered, name):
     report = {"top_exams": "best_exams"}.get(name, name)
     found, expected = sql.STATEMENTS[name].run(spark), refresh.ANSWERS[report](registered)
     assert got(found, *expected.columns) == got(expected, *expected.columns)
     text = plan(found, executed=True)
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert re.search(r"row_number\(\) windowspecdefinition\(program_code#\d+, (mean_grade#\d+ DESC|year#\d+ ASC)", text)
+    assert "WindowGroupLimit" in text
 
 
 def test_parameters_are_checked_and_never_text(spark, registered):
