@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import WHITE, Words, batches_by_size, map_batches, slices, written
+from .common import WHITE, Words, batches_by_size, map_batches, ragged, slices, whole_row, written
 
 LENGTH = 50
 
@@ -80,9 +80,23 @@ def _facts(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """The anchors `h` of every row, with their places `at`."""
-    fields = [docs.schema["id"], docs.schema["tag"], StructField("h", LongType()), StructField("at", IntegerType())]
-    schema = StructType(fields)
+    """The anchors `h` of every row with their places `at`, those of one batch combined.
+
+    Equal anchors of one document are a row with the first place and a list `more` of the
+    others. An anchor that two ids of the batch share is sent once, with MET for its
+    place. Its places are shared for sure: they are lists of one row a document without
+    `at`, under a hash that is no anchor's, which spreads those rows. So a hot anchor has
+    a row a batch.
+    """
+    schema = StructType(
+        [
+            docs.schema["id"],
+            docs.schema["tag"],
+            StructField("h", LongType()),
+            StructField("at", IntegerType()),
+            StructField("more", ArrayType(IntegerType())),
+        ]
+    )
     width = length - PERIOD + 1
     on_cover = np.zeros(PERIOD, dtype=bool)
     on_cover[list(COVER)] = True
@@ -99,20 +113,90 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 hashes.append(rolling.windows(hashed[codes], starts, width))
                 places.append(starts)
                 sizes[row] = len(starts)
-            rows = pa.array(np.repeat(np.arange(len(words)), sizes))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(rows),
-                    batch.column("tag").take(rows),
-                    pa.array(np.concatenate(hashes)),
-                    pa.array(np.concatenate(places).astype(np.int32)),
-                ],
-                names=schema.names,
-            )
+            of, h, at = np.repeat(np.arange(len(words)), sizes), np.concatenate(hashes), np.concatenate(places)
+            shared, first, by = _met(_ranks(batch.column("id"))[of], h)
+            yield _rows(batch, by[~shared[by]], of, (h,), at, schema)
+            yield _rows(batch, first, of, (h,), np.full(len(at), MET), schema)
+            yield _lists(batch, of[shared], at[shared], 1, schema)
 
     return map_batches(docs, find, schema)
 
 
+# The place of an anchor that stands for all of its batch.
+MET = -1
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """The order of the ids, null last; equal ones have one rank."""
+    return np.asarray(pc.rank(ids, null_placement="at_end", tiebreaker="dense"), dtype=np.int64)
+
+
+def _met(order: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which anchors are those of two ids, one place of each such anchor, and all by hash; `order` ranks the ids."""
+    by = np.argsort(h, kind="stable")
+    if not len(by):
+        return np.zeros(0, dtype=bool), by, by
+    starts = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
+    ranked = order[by]
+    two = np.minimum.reduceat(ranked, starts) < np.maximum.reduceat(ranked, starts)
+    shared = np.empty(len(by), dtype=bool)
+    shared[by] = np.repeat(two, np.diff(np.append(starts, len(by))))
+    return shared, by[starts[two]], by
+
+
+def _arrow_schema(batch: pa.RecordBatch, schema: StructType) -> pa.Schema:
+    """Of rows of `id`, `tag`, hashes, `at` and `more`."""
+    hashes = [pa.int64()] * (len(schema.names) - 4)
+    kinds = [*(batch.schema.field(c).type for c in ("id", "tag")), *hashes, pa.int32(), pa.list_(pa.int32())]
+    return pa.schema(list(zip(schema.names, kinds, strict=True)))
+
+
+def _rows(
+    batch: pa.RecordBatch, by: np.ndarray, of: np.ndarray, hashes: tuple[np.ndarray, ...], at: np.ndarray, schema: StructType
+) -> pa.RecordBatch:
+    """Rows for the places `by`, which has those of equal hashes in a run: equal ones of one document are one row.
+
+    `of` is the row of the batch, `at` the place in the text, of all places. The rows
+    keep the order of the batch: those of a document lie together and shuffle small.
+    """
+    again = np.zeros(len(by), dtype=bool)
+    if len(by) > 1:
+        again[1:] = of[by][1:] == of[by][:-1]
+        for h in hashes:
+            again[1:] &= h[by][1:] == h[by][:-1]
+    first = by[~again]
+    many = np.diff(np.append(np.flatnonzero(~again), len(by))) - 1 if len(by) else np.zeros(0, np.int64)
+    order = np.argsort(first, kind="stable")
+    rest = by[again]
+    starts = np.cumsum(many) - many
+    rows, many = first[order], many[order]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32))
+    others = pa.array(at[rest[ragged(starts[order], many)]].astype(np.int32))
+    columns = [
+        *(batch.column(c).take(pa.array(of[rows])) for c in ("id", "tag")),
+        *(pa.array(h[rows]) for h in hashes),
+        pa.array(at[rows].astype(np.int32)),
+        pa.ListArray.from_arrays(offsets, others, mask=pa.array(many == 0)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_arrow_schema(batch, schema))
+
+
+def _lists(batch: pa.RecordBatch, of: np.ndarray, at: np.ndarray, hashes: int, schema: StructType) -> pa.RecordBatch:
+    """A row with the list of its places for every row of the batch that has any, spread by its text."""
+    rows, n = np.unique(of, return_counts=True)
+    tags = batch.column("tag").take(pa.array(rows))
+    spread = (np.asarray(tags).view(np.uint64) * np.uint64(MULTIPLIERS[1])).view(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    columns = [
+        batch.column("id").take(pa.array(rows)),
+        tags,
+        *[pa.array(spread if i == 0 else ~spread) for i in range(hashes)],
+        pa.nulls(len(rows), pa.int32()),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_arrow_schema(batch, schema))
+
+
 def _small(docs: DataFrame) -> DataFrame:
     """The texts compressed, for their way through the shuffle."""
     schema = StructType([docs.schema["id"], docs.schema["tag"], StructField("packed", BinaryType())])
@@ -147,23 +231,24 @@ def _later(first: Column) -> Column:
     return (first < F.col("id")) | (F.col("id").isNull() & first.isNotNull())
 
 
-def _decided(order: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """Which of some windows have an equal one with a smaller id among them; `order` ranks the ids."""
+def _decided(order: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some windows have an equal one with a smaller id among them, and all by hash; `order` ranks the ids."""
     by = np.lexsort((order, h2, h1))
     a, b = h1[by], h2[by]
     starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
     low = np.repeat(order[by][starts], np.diff(np.append(starts, len(by))))
     later = np.zeros(len(by), dtype=bool)
     later[by] = order[by] > low
-    return later
+    return later, by
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
     """The full windows around the shared anchors `places` of every row, under 128 bits of hash.
 
-    Of the equal windows of one batch only those of the smallest id go on as rows with
-    their place `at`. The others are lost already: their places are the list `sure` of
-    one row a document, under a hash that is no window's, which spreads those rows.
+    Of the equal windows of one batch only those of the smallest id go on, a row a
+    document with the first place `at` and a list `more` of the others. The rest is lost
+    already: lists of one row a document without `at`, under a hash that is no window's,
+    which spreads those rows.
     """
     schema = StructType(
         [
@@ -172,14 +257,10 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
             StructField("h1", LongType()),
             StructField("h2", LongType()),
             StructField("at", IntegerType()),
-            StructField("sure", ArrayType(IntegerType())),
+            StructField("more", ArrayType(IntegerType())),
         ]
     )
 
-    def arrow_schema(batch: pa.RecordBatch) -> pa.Schema:
-        kinds = [*(batch.schema.field(c).type for c in ("id", "tag")), pa.int64(), pa.int64(), pa.int32()]
-        return pa.schema(list(zip(schema.names, [*kinds, pa.list_(pa.int32())], strict=True)))
-
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rollings = [Rolling(m, seed) for seed, m in enumerate(MULTIPLIERS, 11)]
         for batch, texts in _unpacked(batches):
@@ -203,33 +284,9 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
                 found[2].append(starts)
             of = np.repeat(np.arange(batch.num_rows), sizes)
             h1, h2, at = (np.concatenate(x) for x in found)
-            order = np.asarray(pc.rank(batch.column("id"), null_placement="at_end", tiebreaker="dense"), dtype=np.int64)
-            later = _decided(order[of], h1, h2)
-            open_ = ~later
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c).take(pa.array(of[open_])) for c in ("id", "tag")),
-                    pa.array(h1[open_]),
-                    pa.array(h2[open_]),
-                    pa.array(at[open_].astype(np.int32)),
-                    pa.nulls(int(open_.sum()), pa.list_(pa.int32())),
-                ],
-                schema=arrow_schema(batch),
-            )
-            sure, first, n = np.unique(of[later], return_index=True, return_counts=True)
-            offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            tags = batch.column("tag").take(pa.array(sure))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(pa.array(sure)),
-                    tags,
-                    pa.array((np.asarray(tags).view(np.uint64) * np.uint64(MULTIPLIERS[1])).view(np.int64)),
-                    pa.array(~h2[later][first]),
-                    pa.nulls(len(sure), pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[later].astype(np.int32))),
-                ],
-                schema=arrow_schema(batch),
-            )
+            later, by = _decided(_ranks(batch.column("id"))[of], h1, h2)
+            yield _rows(batch, by[~later[by]], of, (h1, h2), at, schema)
+            yield _lists(batch, of[later], at[later], 2, schema)
 
     return map_batches(rows, extend, schema)
 
@@ -269,6 +326,10 @@ def _join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return joined if how in ("left_semi", "left_anti") else joined.drop("_id", "_tag")
 
 
+def _all_places() -> Column:
+    return F.array_union(F.collect_set("at"), F.flatten(F.collect_set("more"))).alias("places")
+
+
 def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the passes find: facts of all rows, later copies of a whole text, and rows that lose words.
 
@@ -281,19 +342,21 @@ def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFr
     first = long.groupBy("digest").agg(F.min("id").alias("first"))
     copies = long.join(first, "digest").where(_later(F.col("first"))).select("id", "tag").distinct()
 
-    anchors = _anchors(docs, length)
-    group = [F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("none")]
-    shared = anchors.groupBy("h").agg(*group).where(_shared()).select("h")
+    # The anchors move once: they meet under their hash and stay there if two ids do.
+    group = W.partitionBy("h")
+    met = _anchors(docs, length).select(
+        "id", "tag", "at", "more",
+        F.min("id").over(group).alias("low"), F.max("id").over(group).alias("high"),
+        F.max(F.col("id").isNull()).over(group).alias("none"), (F.min("at").over(group) == MET).alias("met"),
+    ).where(F.col("at").isNull() | ((F.col("at") != MET) & (F.col("met") | _shared())))
     # Sets: equal rows share a name and must not get the places of each of them.
-    met = anchors.join(shared.hint("shuffle_hash"), "h")
-    places = met.groupBy("id", "tag").agg(F.collect_set("at").alias("places"))
+    places = met.groupBy("id", "tag").agg(_all_places())
     texts = _small(docs)
     windows = _windows(_join(texts, _join(places, copies, "left_anti"), "inner"), length)
     same = W.partitionBy("h1", "h2").orderBy(F.asc_nulls_last("id"))
     taken = windows.withColumn("first", F.first("id").over(same.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    gone = taken.where(F.col("sure").isNotNull() | _later(F.col("first"))).groupBy("id", "tag")
-    starts = F.array_union(F.collect_set("at"), F.flatten(F.collect_set("sure"))).alias("places")
-    lost = _cut(_join(texts, gone.agg(starts), "inner"), length)
+    gone = taken.where(F.col("at").isNull() | _later(F.col("first"))).groupBy("id", "tag")
+    lost = _cut(_join(texts, gone.agg(_all_places()), "inner"), length)
     return facts, copies, lost
 
 
@@ -312,8 +375,7 @@ def substring_dedup(
     Equal windows are combined before their shuffle: of a passage in many documents each
     batch of texts sends the windows of its smallest id alone, so a hot hash has as many
     rows as there are batches. They go through one streamed, spilling window function.
-    The anchors are combined before their shuffle as well, and the join with the shared
-    ones is split by AQE where one is hot.
+    The anchors are combined in the same way and move once.
     """
     facts, copies, lost = _repeats(_keyed(docs, id_column, text_column), length)
     copied = copies.withColumn("copied", F.lit(True))
@@ -339,7 +401,7 @@ def without_repeats(
     """
     keyed = _keyed(docs, id_column, text_column)
     _, copies, lost = _repeats(keyed, length)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_column).alias("id"),
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(id_column).alias("id"),
                        _tag(F.coalesce(F.col(text_column), F.lit(""))).alias("tag"))
     lost = lost.select("id", "tag", "kept").dropDuplicates(["id", "tag"])
     left = _join(_join(rows, copies, "left_anti"), lost, "left").where("kept is null or kept <> ''")
