@@ -24,12 +24,12 @@ from pyspark.sql.types import (
 )
 
 from .common import byte_lengths, map_batches, ragged, ship, slices, strings, written
-from .tokenizing import UNSURE
+from .tokenizing import UNSURE, Growing
 
 # Texts of one block share the list of their different id pairs; a block has at most so many bytes, or one text.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 # A process forgets its different pieces once it has more of them, or more ids in them.
-CACHED_PIECES, CACHED_WORDS = 500_000, 8_000_000
+CACHED_PIECES, CACHED_WORDS = 300_000, 4_000_000
 # Ids that are spelt at a time.
 WORDS_AT_ONCE = 1 << 20
 # Lists and groups beyond this are worked on one by one.
@@ -208,21 +208,6 @@ class _Table:
         return self.data[ragged(self.starts[ids], self.lengths[ids])]
 
 
-class _Growing:
-    """Numbers that are appended to, without a copy of all each time."""
-
-    def __init__(self):
-        self.size, self.held = 0, np.empty(1 << 16, dtype=np.int64)
-
-    def add(self, values: np.ndarray) -> None:
-        if self.size + len(values) > len(self.held):
-            grown = np.empty(2 * (self.size + len(values)), dtype=np.int64)
-            grown[: self.size] = self.held[: self.size]
-            self.held = grown
-        self.held[self.size : self.size + len(values)] = values
-        self.size += len(values)
-
-
 class Aligner:
     """The alignment of pieces of text that begin with a blank, each different one once."""
 
@@ -235,9 +220,9 @@ class Aligner:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.facts = [_Growing() for _ in range(5)]  # four of Pieces, and whether both sides spell the piece
-        self.words, self.word_bounds = _Growing(), _Growing()
-        self.pairs, self.times, self.pair_bounds = _Growing(), _Growing(), _Growing()
+        self.facts = [Growing(np.int64) for _ in range(5)]  # four of Pieces, and whether both sides spell the piece
+        self.words, self.word_bounds = Growing(np.int64), Growing(np.int64)
+        self.pairs, self.times, self.pair_bounds = Growing(np.int64), Growing(np.int64), Growing(np.int64)
         for bounds in (self.word_bounds, self.pair_bounds):
             bounds.add(np.zeros(1, dtype=np.int64))
 
