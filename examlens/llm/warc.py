@@ -216,6 +216,9 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_bundles(bundles: DataFrame, id_type) -> DataFrame:
     """The records of the bundles: page id, type, payload size and digest, what a revisit refers to.
 
+    Each record is found through its entry: the frame is expanded by the seek table, the
+    record cut out at its offset and length, and its identifier must be the entry's.
+    Entries that do not make up their frame fail the job.
     Size and digest of a response are taken from its payload, and the digest must be
     the header's; a revisit carries those of the response it stands for in its headers.
     """
@@ -233,22 +236,31 @@ def read_bundles(bundles: DataFrame, id_type) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for content in batch.column("content"):
-                view = memoryview(content.as_buffer())
-                for start, compressed, expanded in frame_bounds(view):
-                    rows = []
+            for content, entries in zip(batch.column("content"), batch.column("entries"), strict=True):
+                view, named = memoryview(content.as_buffer()), entries.values
+                names, frame, offset, length = (named.field(c).to_pylist() for c in ("record_id", "frame", "offset", "length"))
+                at = 0
+                for number, (start, compressed, expanded) in enumerate(frame_bounds(view)):
+                    rows, begin = [], at
                     data = expand.decompress(view[start : start + compressed], max_output_size=expanded)
-                    for headers, block in parse_records(data):
+                    while at < len(names) and frame[at] == number:
+                        record = data[offset[at] : offset[at] + length[at]]
+                        ((headers, block),) = parse_records(record)
+                        if headers["WARC-Record-ID"] != names[at]:
+                            raise ValueError(f"the entry of {names[at]} leads to {headers['WARC-Record-ID']}")
+                        at += 1
                         http, _, payload = block.partition(b"\r\n\r\n")
                         digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                         if kind == "response" and hashlib.sha1(payload, usedforsecurity=False).hexdigest() != digest:
                             raise ValueError(f"the payload of {headers['WARC-Record-ID']} is damaged")
                         size = len(payload) if kind == "response" else int(http.rpartition(b": ")[2])
                         rows.append((headers["WARC-Record-ID"], headers.get("X-Page-ID"), size, digest, kind, headers.get("X-Refers-To-Page-ID")))
+                    if sum(length[begin:at]) != expanded:
+                        raise ValueError("the entries do not make up their frame")
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    records = map_batches(bundles.select("content"), read, schema)
+    records = map_batches(bundles.select("content", "entries"), read, schema)
     return records.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 

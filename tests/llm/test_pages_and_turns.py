@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import zstandard
 from llm.conftest import order
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from examlens.llm import chat, iblt, oracles, queries, template, urls, warc
@@ -52,6 +53,26 @@ def test_bundles_seek_and_expand(spark):
     assert seen == len(rows)
 
 
+@pytest.mark.parametrize("damage", ["swapped", "renamed", "missing", "shifted"])
+def test_damaged_entries_fail(spark, damage):
+    rows, frame = pages(spark)
+    bundle = warc.write_bundles(frame.coalesce(1)).first().asDict(recursive=True)
+    entries = bundle["entries"]
+    assert len(entries) == len(rows)
+    if damage == "swapped":
+        a, b = entries[0], entries[4]
+        a["offset"], b["offset"], a["length"], b["length"] = b["offset"], a["offset"], b["length"], a["length"]
+    elif damage == "renamed":
+        entries[3]["record_id"] = entries[5]["record_id"] + "x"
+    elif damage == "missing":
+        del entries[-1]
+    else:
+        entries[2]["offset"] += 1
+    damaged = spark.createDataFrame([bundle], "content binary, entries array<struct<record_id string, frame int, offset long, length long>>")
+    with pytest.raises(PythonException):
+        warc.read_bundles(damaged, "bigint").collect()
+
+
 RULES = [urls.Rule("allow", "com/"), urls.Rule("block", "example.com/en/"), urls.Rule("allow", "www.example.com/en/"), urls.Rule("block", "net/es/")]
 
 

@@ -140,3 +140,7 @@ def test_bpe_round_trip(spark, docs, texts, monkeypatch):
     check_bpe(table(spark, rows), rows)
     check_bpe(table(spark, rows).limit(0), [])
     check_bpe(docs, texts)
+    # Several blocks a task, and rows assembled a few at a time.
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(bpe, "CODES_AT_ONCE", 40)
+    check_bpe(table(spark, rows), rows)
