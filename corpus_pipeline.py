@@ -1,7 +1,9 @@
 """The corpus pipeline: documents -> quality rules -> SimHash near-dedup -> substring dedup -> packing.
 
 Each stage takes what its predecessor kept, from Parquet in the shared folder, and
-decides on that input alone. All but the last return the columns of `documents`.
+decides on that input alone. All but the last return the columns of `documents`, in
+their order; further columns of any name are carried along. An empty table gives an
+empty one in every stage.
 """
 
 from __future__ import annotations
@@ -15,24 +17,41 @@ from examlens.llm.queries import END_ID
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    A null or empty text fails the base rules and goes; a null language is a stratum of
+    its own; repeated rows are judged alike; a document without id counts as not labelled.
+    """
     labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
     judged = quality.quality_rules(docs, labels, carried=tuple(docs.columns), risk=quality.JOINT)
     return judged.where("kept").select(f"{quality.CARRIED}.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Null and empty texts are one group; a null id comes last; of rows that are equal one
+    stays, of different ones under one id that with the smallest hash.
+    """
     return simhash.one_per_group(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller id has too go."""
+    """Passages that a document with a smaller id has too go, and documents of which nothing is left.
+
+    Null and empty texts have no passages and stay as they are; a row without id comes
+    after all others; rows of one id take nothing from each other. `n_chars` follows
+    the new text.
+    """
     return substring.without_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their ids' checksum."""
+    """The pieces of the packed sequences, with their ids' checksum.
+
+    A null or empty text gives its end id alone; null and repeated ids are documents
+    like any other; ties cannot arise, as documents follow in the order of their files.
+    """
     return packing.with_crc32(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID))
 
 
