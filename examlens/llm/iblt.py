@@ -28,6 +28,8 @@ CELLS = 24  # of the kept fingerprint
 HASHES = 3
 LINE_CHARS = 256  # a line's paragraph is cut there at the latest
 LINE_WORDS = 10  # and after so many words, so that a short text is several paragraphs
+# So many ids at most, on average, tell the ranges of all.
+SAMPLE = 1 << 20
 
 CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
 CHECK_FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -145,19 +147,28 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _bounds(named: DataFrame, parts: int) -> np.ndarray:
+    """Bounds of up to `parts` ranges of ids, rising, from SAMPLE ids on average at most.
+
+    They only decide how even the ranges are; what is in them is the same for any bounds.
+    """
+    share = min(1.0, min(SAMPLE, 100 * parts) / max(1, named.count()))
+    picked = named if share == 1 else named.sample(fraction=share, seed=1)
+    ids = np.sort(np.array([r["id"] for r in picked.collect()], dtype=np.int64))
+    return np.unique(ids[np.arange(1, parts) * len(ids) // parts]) if len(ids) else ids
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
     """Rows `part`, `ahead`, `id`, `packed` text, sorted so that each row's next one follows in its partition.
 
-    Partitions are ranges of ids. Their bounds are quantiles and the driver holds one
-    number per partition: the first id of each, whose row also goes, marked `ahead`,
-    to the partition before; the first row of all goes to the last partition. Texts
-    pass one shuffle, compressed.
+    Partitions are ranges of ids. The driver holds their bounds and one number per
+    partition: the first id of each, whose row also goes, marked `ahead`, to the
+    partition before; the first row of all goes to the last partition. Texts pass one
+    shuffle, compressed.
     """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    cuts = [k / parts for k in range(1, parts)] or [0.5]
-    bounds = docs.agg(F.percentile_approx("id", cuts, 100 * parts)).first()[0] or []
-    bounds = np.unique(np.array(bounds, dtype=np.int64))
+    parts = shuffle_partitions(docs.sparkSession)
+    named = docs.where("id is not null").select("id")
+    bounds = _bounds(named, parts)
 
     def part_of(ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(bounds, ids, side="right")
@@ -169,7 +180,6 @@ def _in_order(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[first])], names=["part", "id"])
 
     narrow = StructType([StructField("part", LongType()), StructField("id", LongType())])
-    named = docs.where("id is not null").select("id")
     firsts = map_batches(named, lowest, narrow).groupBy("part").agg(F.min("id").alias("id")).collect()
     firsts = sorted((r["id"], r["part"]) for r in firsts)
     # The first id of a partition -> the partition before it that has rows.

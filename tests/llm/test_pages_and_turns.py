@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 from llm.conftest import order
 from pyspark.errors import PythonException
@@ -228,20 +229,60 @@ def test_templates_fold_and_render():
             template.compile_template(bad)
 
 
+def plain_parts(text):
+    """The parts of a text with their number among equal ones: lines, of ten words and 256 characters at most."""
+    found = []
+    for line in text.split("\n"):
+        words = line.split(" ")
+        while words:
+            run, words = " ".join(words[:10]), words[10:]
+            found += [run[k : k + 256] for k in range(0, len(run), 256)]
+    return [(part, found[:n].count(part)) for n, part in enumerate(found)]
+
+
+def plain_sums(parts):
+    """What the cells of a fingerprint add up to: three entries a part, and their digests."""
+    key = 0
+    for part, n in parts:
+        key ^= xxhash.xxh3_64_intdigest(part.encode(), n)
+    return 3 * len(parts), key
+
+
+def sums_of(text):
+    table = iblt.from_text(text)
+    return int(table["count"].sum()), int(np.bitwise_xor.reduce(table["key"]))
+
+
 def plain_fingerprints(rows):
     rows, out = sorted(rows), []
     for k, (i, text) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)][1]
-        edited = iblt.edited_text(text, following)
-        own, other, after = (set(iblt.paragraphs(t).tolist()) for t in (text, edited, following))
+        half, following = len(text) // 2, rows[(k + 1) % len(rows)][1]
+        edited = text[: len(text) - half] + following[:half]
+        parts = [plain_parts(t) for t in (text, edited, following)]
+        own, other, after = map(set, parts)
         near = [len(own & x) / len(own | x) if own | x else 1.0 for x in (other, after)]
-        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), *near))
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), *near, plain_sums(parts[0]), plain_sums(parts[1])))
     return out
 
 
 def fingerprints_of(frame):
+    found = iblt.fingerprints(frame).collect()
     columns = ["doc_id", "n_chars", "edited_sha256", "near_edited", "near_next"]
-    return sorted(tuple(r) for r in iblt.fingerprints(frame).select(columns).collect())
+    return sorted((*[r[c] for c in columns], sums_of(r["fingerprint"]), sums_of(r["edited_fingerprint"])) for r in found)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10_000])
+def test_ranges_of_ids_need_no_list_of_quantiles(spark, parts, monkeypatch):
+    ids = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS id")
+    whole = iblt._bounds(ids, parts)
+    monkeypatch.setattr(iblt, "SAMPLE", 500)
+    some = iblt._bounds(ids, parts)
+    for bounds in (whole, some):
+        assert len(bounds) < parts and (np.diff(bounds.astype(np.int64)) > 0).all()
+    assert len(iblt._bounds(ids.limit(0), parts)) == 0
+    rows = [(i, f"text {i}") for i in range(200)]
+    monkeypatch.setattr(iblt, "shuffle_partitions", lambda spark: min(parts, 64))
+    assert fingerprints_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == plain_fingerprints(rows)
 
 
 def test_fingerprints(spark, docs, texts):
