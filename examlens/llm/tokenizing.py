@@ -88,6 +88,14 @@ class Growing:
         self.size += len(values)
 
 
+def cuts_before_blanks(made: dict) -> bool:
+    """Whether a tokenizer is byte-level with the usual split pattern, nothing before it, and no blank in an added token."""
+    split = made.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    plain = all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in made.get("added_tokens") or [])
+    return bool(usual) and made.get("normalizer") is None and plain
+
+
 class PieceCounts:
     """Token counts of whole texts under a byte-level BPE whose words take one blank before them.
 
@@ -96,12 +104,13 @@ class PieceCounts:
     symbol run ends before white space, and a run of white space leaves its last blank
     to what follows. Merges never cross a boundary and special strings hold no blank,
     so the counts of the pieces add up. A text with any other blank goes to the
-    library whole.
+    library whole, and so do all texts under a tokenizer of another make.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.known = Known(self._encode)
+        self.cuts = cuts_before_blanks(json.loads(self.tokenizer.to_str()))
 
     def _encode(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -114,6 +123,8 @@ class PieceCounts:
         if not len(texts):
             return np.zeros(0, dtype=np.int64)
         texts = strings(texts)
+        if not self.cuts:
+            return np.array(self._encode(texts.to_pylist()), dtype=np.int64)
         parts = pc.split_pattern(texts, pattern=" ")
         bounds = np.asarray(parts.offsets, dtype=np.int64)
         values = parts.values.slice(bounds[0], bounds[-1] - bounds[0])

@@ -1,5 +1,6 @@
 """Token counts, packing and byte-level BPE against the libraries on whole texts."""
 
+import json
 import random
 import zlib
 
@@ -97,6 +98,19 @@ def test_every_letter_before_every_mark():
     assert counts.tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_texts_go_whole_to_tokenizers_of_another_make(tmp_path):
+    made = json.loads(tokenizing.load(P.path("byte_bpe_50k.json")).to_str())
+    changes = [{}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": made["pre_tokenizer"] | {"add_prefix_space": True}}]
+    changes.append({"added_tokens": made["added_tokens"] + [made["added_tokens"][0] | {"id": 50257, "content": "a b"}]})
+    for n, change in enumerate(changes):
+        (tmp_path / f"{n}.json").write_text(json.dumps(made | change))
+        counter = tokenizing.PieceCounts(str(tmp_path / f"{n}.json"))
+        assert counter.cuts == (not change)
+        texts = [t or "" for t in mixed(80)] + ["A B a b  a b", "xa bx a b"]
+        expected = [len(e.ids) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert counter(pa.array(texts)).tolist() == expected
+
+
 @pytest.mark.parametrize("limit", [3, 10**6])
 def test_words_are_forgotten_and_learnt_again(monkeypatch, limit):
     monkeypatch.setattr(tokenizing, "CACHED_WORDS", limit)
