@@ -48,6 +48,26 @@ def hardest_exams_overall(model: Model, k: int = 10) -> DataFrame:
     return top_k(rates, ["program_code", "year"], [F.col("ratio"), F.col("exam_code")], k)
 
 
+def hardest_exams_by_academic_year(model: Model, k: int = 10, first_month: int = 10) -> DataFrame:
+    """The k exams with the lowest pass rate of each program and academic year; equal ones by exam code.
+
+    The question as asked, beside `hardest_exams`: all sessions of an academic year count
+    together. It begins in `first_month` and is called by both of its calendar years;
+    sessions without a valid date are in none.
+    """
+    keys = model.keys("program", "exam")
+    sums = model.totals(
+        [*keys, "session_date"], n_passed=F.when(F.col("passed") == 1, 1).otherwise(0), n_enrolled=F.lit(1)
+    )
+    begins = F.year("_day") - F.when(F.month("_day") < first_month, 1).otherwise(0)
+    years = sums.withColumn("_day", model.date()).where("_day is not null")
+    years = years.withColumn("year", F.concat_ws("/", begins, begins + 1))
+    counts = years.groupBy(*keys, "year").agg(F.sum("n_passed").alias("n_passed"), F.sum("n_enrolled").alias("n_enrolled"))
+    rates = rates_of(model, counts).dropna(subset=["program_code", "exam_code"])
+    hardest = top_k(rates, ["program_code", "year"], [F.col("ratio"), F.col("exam_code")], k)
+    return hardest.withColumnRenamed("year", "academic_year")
+
+
 def hardest_of(rates: DataFrame, k: int = 10) -> DataFrame:
     """All years of the exams found in a program's first k rows by (year, ratio).
 

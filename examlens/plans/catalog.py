@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 from typing import TypeVar
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import days_between
 from ..functions.text import short_label
 from ..operators import activity, attempts, commitment, dashboard, distribution, distributions, grades, merit, pass_rate
-from ..operators.model import Model
+from ..operators.model import Model, StarModel
 from ..session import scratch_path
 from ..sources import csv, dimension, export, layout, orders, sql, tables, views
 from . import refresh
@@ -27,6 +28,7 @@ OPERATORS: dict[str, tuple[Callable[[Model], DataFrame], bool, bool]] = {
     "session_enrolments": (distribution.session_enrolments, False, False),
     "exam_pass_rate": (pass_rate.exam_pass_rate, False, True),
     "hardest_exams": (pass_rate.hardest_exams, False, True),
+    "hardest_exams_by_academic_year": (pass_rate.hardest_exams_by_academic_year, False, True),
     "hardest_exams_overall": (pass_rate.hardest_exams_overall, False, True),
     "same_day_load": (commitment.same_day_load, False, True),
     "commitment_rate": (commitment.commitment_rate, False, True),
@@ -58,9 +60,21 @@ CHOSEN_PROGRAMS = [f"[N{n:02}] NATION_{n}" for n in (0, 2, 3, 5, 7, 8, 11, 13, 1
 CHOSEN_AREAS = ["AMERICA", "EUROPE"]
 
 
+# Questions about the sessions alone: they have no use for a stored session table.
+SESSIONS_ONLY = ("same_day_load", "commitment_rate")
+
+
+def _star_model(spark: SparkSession, sf_dir: str, *, student: bool = True) -> StarModel:
+    """The star tables of an input; its sessions, which are found in the line items, are stored once an application."""
+    model = orders.star(spark, sf_dir, student=student)
+    keep = lambda: layout.keep(model.session, scratch_path(spark, "sessions"))
+    return replace(model, session=_laid_out(spark, sf_dir, "sessions", keep))
+
+
 def _star(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     operator, student, _ = OPERATORS[name]
-    return operator(orders.star(spark, sf_dir, student=student))
+    make = orders.star if name in SESSIONS_ONLY else _star_model
+    return operator(make(spark, sf_dir, student=student))
 
 
 def _wide(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +133,7 @@ _refreshed: dict[tuple[str, str, str], refresh.DerivedSet] = {}
 def _derived(spark: SparkSession, sf_dir: str, kind: str = "star") -> refresh.DerivedSet:
     key = spark.sparkContext.applicationId, sf_dir, kind
     if key not in _refreshed:
-        model = orders.star(spark, sf_dir) if kind == "star" else orders.wide(spark, sf_dir)
+        model = _star_model(spark, sf_dir) if kind == "star" else orders.wide(spark, sf_dir)
         _refreshed[key] = refresh.refresh(model)
     return _refreshed[key]
 
@@ -168,7 +182,7 @@ _stored: dict[tuple[str, str, str], Model | DataFrame] = {}
 def _bucketed(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """An operator on the star tables stored in buckets."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    store = lambda: layout.store_bucketed(orders.star(spark, sf_dir), buckets)
+    store = lambda: layout.store_bucketed(_star_model(spark, sf_dir), buckets)
     return OPERATORS[name][0](_laid_out(spark, sf_dir, "bucketed", store))
 
 

@@ -189,6 +189,13 @@ FROM rows_ GROUP BY ALL""",
     "hardest_exams_overall": (_RATES, """SELECT * FROM rates
 WHERE program_code IS NOT NULL AND exam_code IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY program_code, year ORDER BY ratio, exam_code) <= 10"""),
+    "hardest_exams_by_academic_year": ("", """SELECT program_code, program, academic_year, exam_code, exam,
+  count(*) AS n_enrolled, count(*) FILTER (WHERE passed = 1) AS n_passed,
+  CAST(count(*) FILTER (WHERE passed = 1) AS DOUBLE) * 100.0 / count(*) AS ratio
+FROM (SELECT *, year(date) - CASE WHEN month(date) < 10 THEN 1 ELSE 0 END AS y,
+        CAST(y AS VARCHAR) || '/' || CAST(y + 1 AS VARCHAR) AS academic_year FROM rows_)
+GROUP BY program_code, program, academic_year, exam_code, exam
+QUALIFY row_number() OVER (PARTITION BY program_code, academic_year ORDER BY ratio, exam_code) <= 10"""),
     "same_day_load": (_LOAD, "SELECT * FROM load"),
     "commitment_rate": (_LOAD, "SELECT * FROM commitment"),
     "exam_mean_grade": (_MEANS, "SELECT * FROM means"),

@@ -269,3 +269,15 @@ def test_questions_as_asked(spark):
         per_day = got(activity.grade_per_active_day(model), "student_id", "avg_grade", "active_days", "ratio")
         assert per_day == [(1, 25.0, 10.0, 2.5), (2, 24.0, 361.0, 24.0 / 361.0)]
         assert got(attempts.trial_and_error_by_program(model), "program_code", "attempts") == [("P", 0.5)]
+
+
+def test_academic_years_begin_in_october(spark):
+    rows = [Row("P", "e1", datetime.date(2018, 9, 30), 1, 1), Row("P", "e1", datetime.date(2018, 10, 1), 2, 0)]
+    rows += [Row("P", "e1", datetime.date(2019, 2, 1), 3, 1), Row("P", "e2", datetime.date(2019, 3, 1), 1, 0), Row("P", "e0", datetime.date(2019, 3, 1), 1, 0)]
+    columns = ("academic_year", "exam_code", "n_enrolled", "n_passed", "ratio")
+    for model in (star_of(spark, rows), wide_of(spark, rows)):
+        assert got(pass_rate.hardest_exams_by_academic_year(model, 3), *columns) == [
+            ("2017/2018", "e1", 1, 1, 100.0), ("2018/2019", "e0", 1, 0, 0.0), ("2018/2019", "e1", 2, 1, 50.0), ("2018/2019", "e2", 1, 0, 0.0),
+        ]
+        assert got(pass_rate.hardest_exams_by_academic_year(model, 1), *columns[:2]) == [("2017/2018", "e1"), ("2018/2019", "e0")]
+        assert got(pass_rate.hardest_exams_by_academic_year(model, 3, first_month=9), *columns[:3])[0] == ("2018/2019", "e0", 1)
