@@ -180,7 +180,8 @@ class FakeSession:
 def test_shared_folder_is_the_one_of_the_cluster(spark):
     assert scratch_path(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     assert shared_folder(FakeSession("yarn", "hdfs:///shared/")) == "hdfs:///shared"
-    with pytest.raises(ValueError):
-        shared_folder(FakeSession("yarn"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            shared_folder(FakeSession(master))
     local = FakeSession("local[2]")
     assert shared_folder(local) == shared_folder(local) == local.folder
