@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +63,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    for paths in _recorded:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Who wants to know what is written, see `recorded`.
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """A list that gets the folder of every table written meanwhile."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorded[:] = [p for p in _recorded if p is not paths]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for folder in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

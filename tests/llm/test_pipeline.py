@@ -1,5 +1,6 @@
 """The registered queries against DuckDB, and the pipeline stage by stage against brute force."""
 
+import os
 import random
 
 import public_tokenizers as P
@@ -104,3 +105,20 @@ def test_one_text_beyond_a_slice(spark, sf_dir, tmp_path):
     assert judged == {i: len((t or "").split()) for i, t in rows}
     check_pieces(packing.with_crc32(packing.pack(docs, P.path("word_bpe_49k.json"), end_id=2)).collect(), rows)
     check_bpe(docs, rows)
+
+
+def test_a_stage_drops_what_the_one_before_has_left(spark, sf_dir, docs, tmp_path):
+    def held():
+        return {p for paths in corpus_pipeline._written.values() for p in paths if os.path.exists(p)}
+
+    rows, before = docs.limit(200), set()
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        found = stage(spark, rows, sf_dir)
+        assert not any(os.path.exists(p) for p in before), name
+        before = set(corpus_pipeline._written[spark.sparkContext.applicationId, n])
+        assert before <= held()
+        found.write.parquet(str(tmp_path / name))
+        rows = spark.read.parquet(str(tmp_path / name))
+    # A result that was never written keeps what it reads.
+    lazy = corpus_pipeline.quality_stage(spark, docs.limit(50), sf_dir)
+    assert corpus_pipeline.simhash_stage(spark, lazy, sf_dir).count() <= lazy.count() <= 50
