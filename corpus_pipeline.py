@@ -4,18 +4,53 @@ Each stage takes what its predecessor kept, from Parquet in the shared folder, a
 decides on that input alone. All but the last return the columns of `documents`, in
 their order; further columns of any name are carried along. An empty table gives an
 empty one in every stage.
+
+A stage is called when its predecessor's result is written: it begins by dropping what
+the predecessor has written on its way, so that the shared folder holds one stage's
+intermediates at a time.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from examlens.llm import packing, quality, simhash, substring
-from examlens.llm.common import read_table, written
+from examlens.llm.common import drop, read_table, recorded, written
 from examlens.llm.queries import END_ID
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+# What the last call of each stage has written, by application and place.
+_written: dict[tuple[str, int], list[str]] = {}
+
+
+def _stage(place: int) -> Callable[[Stage], Stage]:
+    """The stage at a place of the pipeline, which drops what the one before has left behind."""
+
+    def made(function: Stage) -> Stage:
+        @functools.wraps(function)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            application = spark.sparkContext.applicationId
+            read = docs.inputFiles()
+            left = _written.pop((application, place - 1), [])
+            # A result that was not written still reads them.
+            drop(spark, [p for p in left if not any(p.rpartition("/")[2] in f for f in read)])
+            with recorded() as paths:
+                found = function(spark, docs, sf_dir)
+            _written[application, place] = paths
+            return found
+
+        return run_stage
+
+    return made
+
+
+@_stage(0)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go.
 
@@ -27,6 +62,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(f"{quality.CARRIED}.*")
 
 
+@_stage(1)
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id.
 
@@ -36,6 +72,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.one_per_group(docs)
 
 
+@_stage(2)
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has too go, and documents of which nothing is left.
 
@@ -46,6 +83,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return substring.without_repeats(docs)
 
 
+@_stage(3)
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their ids' checksum.
 
@@ -67,8 +105,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left."""
+    """The pieces of all documents that are left; of the stages' results only the last is kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        found = stage(spark, docs, sf_dir)
+        with recorded() as paths:
+            docs = written(found, f"pipeline_{name}")
+        drop(spark, before)
+        before = paths
     return STAGES[-1][1](spark, docs, sf_dir)
