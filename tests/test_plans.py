@@ -146,13 +146,13 @@ def test_a_configured_number_of_partitions_is_not_lowered(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-@pytest.mark.parametrize("name", ["session_enrolments", "hardest_exams", "best_exams", "trial_and_error", "with_program_dimension"])
+@pytest.mark.parametrize("name", ["session_enrolments", "exam_pass_rate", "best_exams", "trial_and_error", "with_program_dimension"])
 def test_star_operators_scan_the_line_items_once(spark, sf_dir, name):
     """Their sessions are stored once and read from there."""
     assert len(scans(QUERIES[name](spark, sf_dir), "l")) == 1
 
 
-@pytest.mark.parametrize("name", ["fast_furious", "merit_credits", "chosen_fast_furious"])
-def test_student_operators_scan_the_line_items_once(spark, sf_dir, name):
+@pytest.mark.parametrize("name", ["hardest_exams", "fast_furious", "merit_credits", "chosen_fast_furious"])
+def test_shared_groupings_scan_the_line_items_once(spark, sf_dir, name):
     final = plan(QUERIES[name](spark, sf_dir), executed=True).split("Initial Plan")[0]
     assert len(re.findall(r"FileScan parquet \[l_", final)) == 1
