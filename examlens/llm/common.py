@@ -114,10 +114,10 @@ def strings(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, pa.scalar("", column.type))
 
 
-def batches_by_size(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds at most SLICE_BYTES of `text`, or one row."""
+def batches_by_size(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds at most `limit` bytes of `text`, or one row."""
     for batch in batches:
-        for start, stop in slices(batch.column(text)):
+        for start, stop in slices(batch.column(text), limit):
             yield batch.slice(start, stop - start)
 
 

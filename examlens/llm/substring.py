@@ -29,6 +29,9 @@ LENGTH = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 
+# So many bytes of text are worked on at a time, or one text.
+BATCH_BYTES = 3 << 20
+
 # Odd multipliers of the window hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -103,7 +106,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(MULTIPLIERS[0], 1)
-        for batch in batches_by_size(batches, "text"):
+        for batch in batches_by_size(batches, "text", BATCH_BYTES):
             words = Words(batch.column("text"))
             hashed = rolling.words(words.distinct.to_pylist())
             sizes, hashes, places = np.zeros(len(words), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -213,10 +216,10 @@ def _small(docs: DataFrame) -> DataFrame:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches with at most 2 MB of compressed text, or one row, and the texts."""
+    """Batches with some compressed text, or one row, and the texts."""
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        for start, stop in slices(batch.column("packed"), 2 << 20):
+        for start, stop in slices(batch.column("packed"), BATCH_BYTES // 4):
             part = batch.slice(start, stop - start)
             yield part, [expand.decompress(p.as_buffer()) for p in part.column("packed")]
 
