@@ -80,7 +80,7 @@ class Quantiser:
         """The nearest centroid, and all whose border to the nearest is within the margin."""
         scores = _scores(x, centroids)
         best = scores.argmax(axis=1)
-        apart = np.sqrt(np.maximum(((centroids[best][:, None] - centroids[None]) ** 2).sum(axis=2), 1e-300)) if len(centroids) <= 64 else self._apart(centroids)[best]
+        apart = self._apart(centroids)[best]
         border = (scores[np.arange(len(x)), best][:, None] - scores) / apart
         return best, border <= self.margin
 
