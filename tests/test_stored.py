@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from examlens import session
 from examlens.operators import activity, attempts, commitment, distribution, grades, merit, pass_rate, summary
 from examlens.plans import catalog, refresh
 from examlens.plans.reports import REPORTS
@@ -145,3 +146,37 @@ def test_hot_programs_are_stored_in_several_files(spark, conf):
     same(grades.best_exams(stored), grades.best_exams(wide_of(spark, rows)))
     none = stored.enrolment.sparkSession.createDataFrame([], "program_code string")
     assert grades.best_exams(layout.narrowed(stored, none)).collect() == []
+
+
+def test_tasks_of_a_refresh_follow_the_rows(spark, conf, monkeypatch):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    rows = [Row(f"P{n % 3}", f"e{n % 7}", day(n % 50), n, n % 2, 20) for n in range(2000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    derived = refresh.refresh(wide_of(spark, rows))
+    files = [f for f in derived.grain(summary.STUDENTS).inputFiles() if "grain=students" in f]
+    assert len(files) > 10
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    same(derived.table("student_activity"), activity.student_activity(wide_of(spark, rows)))
+
+
+def test_small_tasks_only_make_settings_finer(spark, conf):
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    conf("spark.sql.shuffle.partitions", "7")
+    with session.small_tasks(spark, 1) as number:
+        assert number == 7 and session._bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == 8192
+    with session.small_tasks(spark, 10 * session.TASK_ROWS + 1) as number:
+        assert number == 11 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
+    assert [session._bytes(s) for s in ("64MB", "8m", "1024", "1gib", "5b")] == [2**26, 2**23, 1024, 2**30, 5]
+
+
+@pytest.mark.parametrize("layout_", ["star", "wide"])
+def test_passed_enrolments_make_no_groups_of_failures(spark, layout_):
+    rows = [Row("P0", "e0", day(n % 5), n, 1, 25) for n in range(500)] + [Row("P0", "e0", day(1), None, 1, 20)] * 4
+    model = models(spark, [*rows, Row("P0", "e0", day(2), None, 0), Row("P0", "e0", day(2), 7, 0), Row("P0", "e1", day(2), 7, 1)])[layout_]
+    expand = summary.summarise(model)
+    found = expand.where(expand.grain == summary.FAILURES).select("student_id", "exam_code", "n_failed").collect()
+    assert sorted(map(tuple, found), key=repr) == [(7, "e0", 1), (None, "e0", 1)]
+    assert "_failed_student" in plan(expand)
+    same(refresh.ANSWERS["trial_and_error"](refresh.refresh(model)), attempts.trial_and_error(model))
