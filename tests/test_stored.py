@@ -1,6 +1,7 @@
 """Derived tables, bucketed and partitioned layouts: results as from the models, plans without what they save."""
 
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -8,7 +9,7 @@ from examlens import session
 from examlens.operators import activity, attempts, commitment, distribution, grades, merit, pass_rate, summary
 from examlens.plans import catalog, refresh
 from examlens.plans.reports import REPORTS
-from examlens.sources import layout, tables
+from examlens.sources import layout, orders, tables
 from examlens.session import scratch_path
 from mini import Row, day, got, star_of, wide_of
 from test_brute_force import random_rows
@@ -180,3 +181,29 @@ def test_passed_enrolments_make_no_groups_of_failures(spark, layout_):
     assert sorted(map(tuple, found), key=repr) == [(7, "e0", 1), (None, "e0", 1)]
     assert "_failed_student" in plan(expand)
     same(refresh.ANSWERS["trial_and_error"](refresh.refresh(model)), attempts.trial_and_error(model))
+
+
+def test_the_enrolments_are_computed_once_for_the_buckets(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    model = star_of(spark, hot_rows()[::3])
+    rows = model.enrolment
+    stored = layout.store_bucketed(replace(model, enrolment=rows.mapInArrow(counted, rows.schema)), 3, hot_rows=100)
+    assert seen.value == rows.count()
+    same(activity.student_activity(stored), activity.student_activity(model))
+
+
+@pytest.mark.parametrize("name, store", [("bucketed_best_exams", "store_bucketed"), ("pruned_best_exams", "store_by_program")])
+def test_layouts_of_a_query_are_stored_in_small_tasks(spark, sf_dir, monkeypatch, name, store):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    monkeypatch.setattr(catalog, "_stored", {})
+    parts, before, seen = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"), []
+    monkeypatch.setattr(layout, store, lambda model, *_: (seen.append(int(spark.conf.get(parts))), model)[1])
+    QUERIES[name](spark, sf_dir)
+    assert seen[0] == -(-orders.n_line_items(spark, sf_dir) // 100) > int(before)
+    assert spark.conf.get(parts) == before
